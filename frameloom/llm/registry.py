@@ -19,6 +19,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"), "n_links")
 
 
+def crc_rest(column: str, by: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"), crc_rest("doc_id", 7) != 2)
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -27,7 +37,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_substrings, op6_simhash)}
+    return {f.__name__: f for f in (op2_hmm_scores, op5_substrings, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
