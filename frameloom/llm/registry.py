@@ -19,6 +19,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"), "n_links")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; the files are read where they lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def crc_rest(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
@@ -29,6 +36,12 @@ def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"), crc_rest("doc_id", 7) != 2)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -36,8 +49,15 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import read_tokens, write_tokens
+
+    manifest = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return read_tokens(manifest).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hmm_scores, op5_substrings, op6_simhash)}
+    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op5_substrings, op6_simhash, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
