@@ -110,7 +110,7 @@ def _write(folder: str):
                 continue
             if out is None:
                 files, path = _open(uri)
-                out = files.open_output_stream(path)
+                out = files.open_output_stream(path, compression=None)
             frames = batch.column("frame").to_pylist()
             for x in frames:
                 out.write(x)
