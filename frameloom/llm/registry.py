@@ -42,6 +42,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import BASE_RULES, cascade
+
+    judged = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.name for r in BASE_RULES]
+    m = F.col("measures")
+    failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines")
+    rejected = F.col("rejected_by")
+    return judged.select("doc_id", *(m[k].alias(k) for k in names), (failed | F.coalesce(rejected.isin(base), F.lit(False))).alias("base_failed"), rejected.isNull().alias("kept"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -57,8 +69,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op5_substrings, op6_simhash, op9_token_files)}
+    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import rules
+
+    return {"op4_rules": rules.QUERY_SQL}
