@@ -43,15 +43,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .rules import BASE_RULES, cascade
+    from .rules import OWN, cascade
 
     judged = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = [r.name for r in BASE_RULES]
-    m = F.col("measures")
-    failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines")
-    rejected = F.col("rejected_by")
-    return judged.select("doc_id", *(m[k].alias(k) for k in names), (failed | F.coalesce(rejected.isin(base), F.lit(False))).alias("base_failed"), rejected.isNull().alias("kept"))
+    out = judged.select("doc_id", *(F.col(OWN + k).alias(k) for k in names), F.col(OWN + "rejected_by").isNull().alias("kept"))
+    return out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,20 +7,21 @@ first that rejects.  The order changes the work, never the verdict: a text is
 kept when no rule rejects it.  The sample (at most ``SAMPLE_ROWS`` texts, chosen by
 a hash of the text) serves the order only.
 
-Measures come from ``measured``: arrays of words and of 8-word window hashes stay
+Measures come from ``with_measures``: arrays of words and of 8-word window hashes stay
 inside one row, so there is no shuffle and no explode.  Windows are compared by
 64-bit hashes within a text.  Most texts have no repeated window, which one
 distinct count over the hashes shows; only the others pay for the sort that finds
 the words covered.
 
 Defined cases: a null or empty text has no words, fails ``too_short`` and is
-rejected; repeated rows are judged alike, each on its own; nulls and clashing
-names in other columns do no harm, as measures live in one struct column; an
-empty table gives an empty result and the rules keep their given order.
+rejected; repeated rows are judged alike, each on its own; an
+empty table gives an empty result and the rules keep their given order; other
+columns are left alone (a prefix sets the added ones apart).
 """
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -78,28 +79,59 @@ def _has_twin(ranked: Column, x: Column, i: Column) -> Column:
     return F.coalesce(x["h"] == F.get(ranked, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(ranked, i + 1)["h"], F.lit(False))
 
 
-def measured(docs: DataFrame, text_col: str = "text", into: str = "measures") -> DataFrame:
-    """Add one struct column of measures; all other columns stay."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    step = docs.withColumn(into, F.struct(text.alias("t"), F.array_remove(F.split(text, BLANK), "").alias("words")))
-    m = lambda k: F.col(f"`{into}`.{k}")
-    n = F.size(m("words"))
-    step = step.withColumn(into, F.struct(m("t").alias("t"), n.cast("long").alias("n_words"), F.length(F.array_join(m("words"), "")).cast("long").alias("word_chars"), F.transform(m("words"), lambda w: F.xxhash64(w)).alias("h")))
-    window = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
-    windows = F.when(F.size(m("h")) > WINDOW, _let(m("h"), window))
-    lines = F.filter(F.split(m("t"), "\n"), lambda x: F.rtrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    symbols = F.regexp_count(m("t"), F.lit(SYMBOLS)).cast("long")
-    bangs = (F.length(m("t")) - F.length(F.replace(m("t"), F.lit("!"), F.lit("")))).cast("long")
-    step = step.withColumn(into, F.struct(m("n_words").alias("n_words"), m("word_chars").alias("word_chars"), symbols.alias("n_symbols"), bangs.alias("n_bangs"), lines.alias("lines"), windows.alias("windows")))
-    dup = F.size(F.array_distinct(m("windows"))) < F.size(m("windows"))
-    repeat = F.when(m("windows").isNotNull() & dup, _covered(m("windows"))).otherwise(F.lit(0).cast("long"))
-    n_lines = F.size(m("lines")).cast("long")
-    dup_lines = n_lines - F.size(F.array_distinct(m("lines"))).cast("long")
-    kept = ("n_words", "word_chars", "n_symbols", "n_bangs")
-    return step.withColumn(into, F.struct(*(m(k).alias(k) for k in kept), n_lines.alias("n_lines"), dup_lines.alias("n_dup_lines"), repeat.alias("n_repeat_words")))
+NAMES = ("n_words", "word_chars", "n_symbols", "n_bangs", "n_lines", "n_dup_lines", "n_repeat_words")
 
+#: Prefix of the columns that this module adds to a table of the caller's.
+OWN = "__rule_"
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_bangs", "n_lines", "n_dup_lines", "n_repeat_words")
+
+def _own(name: str) -> Column:
+    return F.col(f"`{OWN}{name}`")
+
+
+def with_measures(docs: DataFrame, names: tuple[str, ...] = NAMES, text_col: str = "text") -> DataFrame:
+    """Add the named measures, each as a column with the prefix OWN; those that are there already stay."""
+    names = tuple(n for n in names if OWN + n not in docs.columns)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    out, scrap = docs, []
+
+    def add(name: str, value: Column, keep: bool = False) -> None:
+        nonlocal out
+        out = out.withColumn(OWN + name, value)
+        if not keep:
+            scrap.append(OWN + name)
+
+    if {"n_words", "word_chars", "n_repeat_words"} & {*names}:
+        add("words", F.array_remove(F.split(text, BLANK), ""))
+    if "n_words" in names:
+        add("n_words", F.size(_own("words")).cast("long"), True)
+    if "word_chars" in names:
+        add("word_chars", F.length(F.array_join(_own("words"), "")).cast("long"), True)
+    if "n_symbols" in names:
+        add("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"), True)
+    if "n_bangs" in names:
+        add("n_bangs", (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long"), True)
+    if {"n_lines", "n_dup_lines"} & {*names}:
+        add("lines", F.filter(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
+        if "n_lines" in names:
+            add("n_lines", F.size(_own("lines")).cast("long"), True)
+        if "n_dup_lines" in names:
+            add("n_dup_lines", (F.size(_own("lines")) - F.size(F.array_distinct(_own("lines")))).cast("long"), True)
+    if "n_repeat_words" in names:
+        window = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+        add("windows", F.when(F.size(_own("words")) > WINDOW, _let(F.transform(_own("words"), lambda w: F.xxhash64(w)), window)))
+        dup = F.size(F.array_distinct(_own("windows"))) < F.size(_own("windows"))
+        add("n_repeat_words", F.when(_own("windows").isNotNull() & dup, _covered(_own("windows"))).otherwise(F.lit(0).cast("long")), True)
+    return out.drop(*scrap)
+
+
+def needs(rule: Rule) -> tuple[str, ...]:
+    return tuple(n for n in NAMES if re.search(rf"\b{n}\b", rule.reject))
+
+
+def rejects(rule: Rule) -> Column:
+    """The rule's test over the columns of with_measures."""
+    return F.expr(re.sub(r"\b(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")\b", lambda m: f"`{OWN}{m[1]}`", rule.reject))
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
@@ -112,52 +144,36 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(rows)
     sample = picked.persist()
     try:
-        flat = measured(sample).select("measures.*")
-        found = flat.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.expr(r.reject).cast("int")).alias(r.name) for r in rules)).first()
+        found = with_measures(sample).agg(F.count(F.lit(1)).alias("n"), *(F.avg(rejects(r).cast("int")).alias(r.name) for r in rules)).first()
         if not found["n"]:
             return rules
         cost = {}
         for r in rules:
             began = time.perf_counter()
-            flat.agg(F.count_if(F.expr(r.reject))).collect()
+            with_measures(sample, needs(r)).agg(F.count_if(rejects(r))).collect()
             cost[r.name] = time.perf_counter() - began
         return tuple(sorted(rules, key=lambda r: -(found[r.name] or 0.0) / max(cost[r.name], 1e-4)))
     finally:
         sample.unpersist()
 
 
-def verdict(rules: tuple[Rule, ...], into: str = "measures") -> Column:
-    """The name of the first rule that rejects, in cascade order, or null."""
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Every row with all measures (prefix OWN) and OWN + "rejected_by": the first rule that rejects it, or null."""
     out = None
-    for r in rules:
-        test = F.expr(_qualified(r.reject, into))
-        out = F.when(test, F.lit(r.name)) if out is None else out.when(test, F.lit(r.name))
-    return out
-
-
-def _qualified(sql: str, into: str) -> str:
-    for name in sorted(NAMES, key=len, reverse=True):
-        sql = _replace_word(sql, name, f"`{into}`.{name}")
-    return sql
-
-
-def _replace_word(sql: str, name: str, by: str) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w.`]){name}\b", by, sql)
-
-
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", into: str = "measures", rejected: str = "rejected_by") -> DataFrame:
-    """Add the measures and the name of the rejecting rule (null: kept)."""
-    order = ordered(docs, rules, text_col)
-    return measured(docs, text_col, into).withColumn(rejected, verdict(order, into))
+    for r in ordered(docs, rules, text_col):
+        out = F.when(rejects(r), F.lit(r.name)) if out is None else out.when(rejects(r), F.lit(r.name))
+    return with_measures(docs, NAMES, text_col).withColumn(OWN + "rejected_by", F.lit(None).cast("string") if out is None else out)
 
 
 def kept_only(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with their own columns."""
-    mark = "__rejected_by"
-    judged = cascade(docs, rules, text_col, "__measures", mark)
-    return judged.where(F.col(mark).isNull()).drop("__measures", mark)
+    """The rows that no rule rejects, with their own columns.
+
+    A measure is computed when the first rule that uses it is reached, on the rows still there.
+    """
+    out = docs
+    for r in ordered(docs, rules, text_col):
+        out = with_measures(out, needs(r), text_col).where(~rejects(r))
+    return out.drop(*(OWN + n for n in NAMES))
 
 
 QUERY_SQL = r"""
