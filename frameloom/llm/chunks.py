@@ -55,7 +55,7 @@ def _chunk(pool: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     texts = texts_of(table.column("text"))
     there = ids.is_valid().to_numpy(zero_copy_only=False)
     values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    body = zstandard.ZstdCompressor(level=1).compress(texts.buf[: texts.size].tobytes())
+    body = zstandard.ZstdCompressor(level=3).compress(texts.buf[: texts.size].tobytes())
     columns = [[number], [len(texts)], [len(words_of(texts))], [pack(values, "<i8")], [pack(there, "u1")], [pack(np.diff(texts.offsets), "<i8")], [body]]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     names = ["chunk", "n_docs", "n_words", "ids", "id_set", "sizes", "body"]

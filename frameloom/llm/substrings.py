@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,16 @@ class _Chunk:
 
 
 def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(n)).astype(np.int64)
+
+
+def _thin(rising: np.ndarray, kind: str) -> bytes:
+    """Rising keys as compressed steps."""
+    return zstandard.ZstdCompressor(level=1).compress(pack(np.diff(rising, prepend=rising.dtype.type(0)), kind))
+
+
+def _thick(blob: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(unpack(zstandard.ZstdDecompressor().decompress(blob), kind), dtype=kind)
 
 
 def _sorted_anchors(chunk: _Chunk, n_buckets: int):
@@ -116,8 +126,8 @@ def _send_anchors(window: int, period: int, n_buckets: int):
             for row in batch.to_pylist():
                 chunk = _Chunk(row, window, period)
                 _, kinds, _, _, order, met, limits = _sorted_anchors(chunk, n_buckets)
-                low = kinds[order].astype("<u4")
-                keys = [low[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+                high = (kinds[order] >> np.uint64(32)).astype("<u4")  # rising within a bucket, as kinds rise
+                keys = [_thin(high[a:b], "<u4") for a, b in zip(limits[:-1], limits[1:], strict=True)]
                 yield _message(met, np.full(len(met), row["chunk"]), keys, [None] * len(met))
 
     return run
@@ -129,7 +139,7 @@ def _replies(chunk, bucket, body) -> pa.Table:
 
 def _judge_anchors(group: pa.Table) -> pa.Table:
     """For each message, a bit per key: does another chunk have it?"""
-    parts = [unpack(x, "<u4") for x in group.column("keys").to_pylist()]
+    parts = [_thick(x, "<u4") for x in group.column("keys").to_pylist()]
     flat = np.concatenate(parts)
     _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
     twice = times[inverse] > 1
@@ -160,7 +170,7 @@ def _send_windows(window: int, period: int, n_buckets: int):
             order, met, limits = by_bucket(_bucket_of(w, n_buckets), n_buckets)
             w, ids = w[order], ids[order]
             spans = list(zip(limits[:-1], limits[1:], strict=True))
-            made.append(_message(met, np.full(len(met), row["chunk"]), [pack(w[a:b], "<u8") for a, b in spans], [pack(ids[a:b], "<i8") for a, b in spans]))
+            made.append(_message(met, np.full(len(met), row["chunk"]), [_thin(w[a:b], "<u8") for a, b in spans], [_thin(ids[a:b], "<i8") for a, b in spans]))
         empty = _message([], [], [], [])
         return pa.Table.from_batches(made or [empty])
 
@@ -169,8 +179,8 @@ def _send_windows(window: int, period: int, n_buckets: int):
 
 def _judge_windows(group: pa.Table) -> pa.Table:
     """For each message, its keys for which another chunk has a smaller id."""
-    parts = [unpack(x, "<u8") for x in group.column("keys").to_pylist()]
-    keys, ids = np.concatenate(parts), np.concatenate([unpack(x, "<i8") for x in group.column("low").to_pylist()])
+    parts = [_thick(x, "<u8") for x in group.column("keys").to_pylist()]
+    keys, ids = np.concatenate(parts), np.concatenate([_thick(x, "<i8") for x in group.column("low").to_pylist()])
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
