@@ -65,8 +65,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest).drop("path")
 
 
+def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gam import THRESHOLD, fit, scores
+
+    docs = table(spark, sf_dir, "documents")
+    rest = crc_rest("doc_id", 5)
+    model = fit(docs, table(spark, sf_dir, "labels"), rest != 0)
+    score = F.col("score")
+    return scores(docs, model).select("doc_id", F.coalesce(rest == 0, F.lit(True)).alias("held_out"), "score", (score >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op9_token_files)}
+    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op9_token_files, op10_gam)}
 
 
 def oracle_sql() -> dict[str, str]:
