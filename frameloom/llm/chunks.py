@@ -24,7 +24,7 @@ from .textkit import Texts, Words, pack, padded, steps, texts_of, unpack, words_
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 4 << 20
 
-SCHEMA = "chunk long, n_docs long, n_words long, ids binary, id_set binary, sizes binary, body binary"
+SCHEMA = "chunk long, n_docs long, n_words long, ids binary, id_set binary, sizes binary, body binary, rest binary"
 
 
 def _cut(target: int):
@@ -56,15 +56,31 @@ def _chunk(pool: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     there = ids.is_valid().to_numpy(zero_copy_only=False)
     values = ids.fill_null(0).to_numpy(zero_copy_only=False)
     body = zstandard.ZstdCompressor(level=3).compress(texts.buf[: texts.size].tobytes())
-    columns = [[number], [len(texts)], [len(words_of(texts))], [pack(values, "<i8")], [pack(there, "u1")], [pack(np.diff(texts.offsets), "<i8")], [body]]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["chunk", "n_docs", "n_words", "ids", "id_set", "sizes", "body"]
+    columns = [[number], [len(texts)], [len(words_of(texts))], [pack(values, "<i8")], [pack(there, "u1")], [pack(np.diff(texts.offsets), "<i8")], [body], [_stored(table)]]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "n_docs", "n_words", "ids", "id_set", "sizes", "body", "rest"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = CHUNK_BYTES) -> DataFrame:
-    """Write documents as chunks; no shuffle, one scan."""
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _stored(table: pa.Table) -> bytes | None:
+    """The documents' other columns, compressed."""
+    if "rest" not in table.column_names:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.select(["rest"]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.select(["rest"]))
+    return sink.getvalue().to_pybytes()
+
+
+def rest_in(blob: bytes) -> dict[str, pa.Array]:
+    """The other columns of a chunk made with ``carry``."""
+    column = pa.ipc.open_stream(blob).read_all().column("rest").combine_chunks()
+    return dict(zip([f.name for f in column.type], column.flatten(), strict=True))
+
+
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = CHUNK_BYTES, carry: bool = False) -> DataFrame:
+    """Write documents as chunks; no shuffle, one scan.  ``carry`` keeps all columns but the text."""
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if carry else []))
     return written(slim.mapInArrow(_cut(target), SCHEMA), "chunks")
 
 

@@ -36,9 +36,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import by_bucket, chunked, ids_in, words_in
+from .chunks import by_bucket, chunked, ids_in, rest_in, words_in
 from .shared import written
-from .textkit import Words, joined, pack, unpack, window_hashes, window_mask, word_hashes
+from .textkit import Texts, Words, joined, pack, padded, unpack, window_hashes, window_mask, word_hashes
 
 WINDOW = 13
 
@@ -196,51 +196,107 @@ def _judge_windows(group: pa.Table) -> pa.Table:
     return _replies([chunks[k] for k in some], [bucket] * len(some), [body[k] for k in some])
 
 
+def _gone(chunk: _Chunk, lost: np.ndarray) -> np.ndarray:
+    """Whether each word of a chunk lies in a window that a smaller id has, here or (``lost``) elsewhere."""
+    n = len(chunk.words)
+    depth = np.zeros(n + 1, dtype=np.int64)
+    places = np.flatnonzero(chunk.whole)
+    if len(places):
+        w = window_hashes(chunk.h, chunk.window)[places]
+        drop = np.isin(w, lost) if len(lost) else np.zeros(len(w), dtype=bool)
+        ids = chunk.id_at(places)
+        rank = np.argsort(w, kind="stable")
+        ranked = w[rank]
+        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        if len(head) < len(w):
+            least = np.repeat(np.minimum.reduceat(ids[rank], head), np.diff(np.append(head, len(w))))
+            drop[rank] |= ids[rank] > least
+        places = places[drop]
+        np.add.at(depth, places, 1)
+        np.subtract.at(depth, places + chunk.window, 1)
+    return np.cumsum(depth)[:n] > 0
+
+
+def _cut_out(words: Words, gone: np.ndarray) -> Texts:
+    """The texts without the gone words and the white space after each; all else as it was."""
+    texts = words.texts
+    stop = np.concatenate([words.start[1:], [texts.size]]) if len(words) else words.start
+    stop = np.minimum(stop, np.repeat(texts.offsets[1:], words.counts))
+    depth = np.zeros(texts.size + 1, dtype=np.int64)
+    np.add.at(depth, words.start[gone], 1)
+    np.subtract.at(depth, stop[gone], 1)
+    keep = np.cumsum(depth)[: texts.size] == 0
+    offsets = np.concatenate([[0], np.cumsum(keep)])[texts.offsets]
+    return Texts(padded(texts.buf[: texts.size][keep]), offsets)
+
+
+def _strings(texts: Texts) -> pa.Array:
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(texts.offsets.astype(np.int64)), pa.py_buffer(texts.buf[: texts.size].tobytes())])
+    return flat.cast(pa.large_string()).cast(pa.string())
+
+
+STRIPPED = "id long, n_words long, n_removed long, text string"
+
+
 def _strip(window: int, period: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lost = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack(x, "<u8") for x in right.column("body").to_pylist())]))
         out = []
         for row in left.to_pylist():
             chunk = _Chunk(row, window, period)
-            n = len(chunk.words)
-            gone = np.zeros(n + 1, dtype=np.int64)
-            places = np.flatnonzero(chunk.whole)
-            if len(places):
-                w = window_hashes(chunk.h, window)[places]
-                drop = np.isin(w, lost) if len(lost) else np.zeros(len(w), dtype=bool)
-                ids = chunk.id_at(places)
-                rank = np.argsort(w, kind="stable")
-                ranked = w[rank]
-                head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                if len(head) < len(w):
-                    least = np.repeat(np.minimum.reduceat(ids[rank], head), np.diff(np.append(head, len(w))))
-                    drop[rank] |= ids[rank] > least
-                places = places[drop]
-                np.add.at(gone, places, 1)
-                np.subtract.at(gone, places + window, 1)
-            keep = np.cumsum(gone)[:n] == 0
-            texts = joined(chunk.words, keep)
-            flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(texts.offsets.astype(np.int64)), pa.py_buffer(texts.buf[: texts.size].tobytes())])
-            kept = np.concatenate([[0], np.cumsum(keep)])[chunk.words.first]
+            gone = _gone(chunk, lost)
             counts = chunk.words.counts
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[chunk.words.first])
             ids = pa.array(chunk.ids.data, pa.int64(), mask=np.ma.getmaskarray(chunk.ids))
-            out.append(pa.table({"id": ids, "n_words": pa.array(counts.astype(np.int64)), "n_removed": pa.array((counts - np.diff(kept)).astype(np.int64)), "text": flat.cast(pa.large_string()).cast(pa.string())}))
+            out.append(pa.table({"id": ids, "n_words": pa.array(counts.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "text": _strings(joined(chunk.words, ~gone))}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: ``id_col``, n_words, n_removed, text (kept words, one space between)."""
-    period = period_for(window)
-    chunks = chunked(docs, id_col, text_col)
+def _strip_in_place(window: int, period: int, text_col: str, names: list[str]):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lost = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack(x, "<u8") for x in right.column("body").to_pylist())]))
+        out = []
+        for row in left.to_pylist():
+            chunk = _Chunk(row, window, period)
+            columns = rest_in(row["rest"])
+            columns[text_col] = _strings(_cut_out(chunk.words, _gone(chunk, lost)))
+            out.append(pa.table([columns[k] for k in names], names))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _lost_windows(chunks: DataFrame, window: int, period: int) -> DataFrame:
+    """By chunk: the hashes of its windows that another chunk has under a smaller id."""
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     entries = n_words * len(COVERS[period]) // period
     n_buckets = max(entries // BUCKET_ENTRIES + 1, 16)
-    anchors = chunks.mapInArrow(_send_anchors(window, period, n_buckets), MESSAGE)
+    texts = chunks.drop("rest")
+    anchors = texts.mapInArrow(_send_anchors(window, period, n_buckets), MESSAGE)
     shared = anchors.groupBy("bucket").applyInArrow(_judge_anchors, REPLY)
-    pairs = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk"))
+    pairs = texts.groupBy("chunk").cogroup(shared.groupBy("chunk"))
     windows = pairs.applyInArrow(_send_windows(window, period, n_buckets), MESSAGE)
-    lost = written(windows.groupBy("bucket").applyInArrow(_judge_windows, REPLY), "windows")
-    found = chunks.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_strip(window, period), "id long, n_words long, n_removed long, text string")
+    return written(windows.groupBy("bucket").applyInArrow(_judge_windows, REPLY), "windows")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per document: ``id_col``, n_words, n_removed, text (kept words, one space between)."""
+    period = period_for(window)
+    chunks = chunked(docs, id_col, text_col)
+    lost = _lost_windows(chunks, window, period)
+    found = chunks.drop("rest").groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_strip(window, period), STRIPPED)
     return found.withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents with all their columns, the repeated words cut out of the text.
+
+    White space between kept words stays as it was; a text that loses nothing stays equal (null becomes empty).
+    """
+    period = period_for(window)
+    chunks = chunked(docs, id_col, text_col, carry=True)
+    lost = _lost_windows(chunks, window, period)
+    schema = docs.select(*(F.col(f"`{c}`") for c in docs.columns)).schema
+    return chunks.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_strip_in_place(window, period, text_col, docs.columns), schema)
