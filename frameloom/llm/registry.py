@@ -58,6 +58,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiindex import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import read_tokens, write_tokens
 
@@ -76,7 +82,7 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op9_token_files, op10_gam)}
+    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op8_multi_index, op9_token_files, op10_gam)}
 
 
 def oracle_sql() -> dict[str, str]:
