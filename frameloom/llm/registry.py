@@ -30,6 +30,12 @@ def crc_rest(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .automaton import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lmscore import language_scores
 
@@ -58,6 +64,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import checked
+
+    return checked(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .multiindex import nearest
 
@@ -82,7 +94,7 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op8_multi_index, op9_token_files, op10_gam)}
+    return {f.__name__: f for f in (op1_token_counts, op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op7_pieces, op8_multi_index, op9_token_files, op10_gam)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -52,6 +52,46 @@ def codec(path: str) -> "WordCodec":
         return _CODECS[path]
 
 
+class IdCache:
+    """Ids of fragments by the fragments' hashes, in flat arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: list[np.ndarray]) -> None:
+        at = len(self.ids) + np.concatenate([[0], np.cumsum(counts)])[:-1]
+        self.ids = np.concatenate([self.ids, *ids])
+        keys = np.concatenate([self.keys, keys])
+        rank = np.argsort(keys)
+        self.keys, self.at, self.size = keys[rank], np.concatenate([self.at, at])[rank], np.concatenate([self.size, counts])[rank]
+
+    def ids_of(self, words: Words, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments in a row, and the number of ids of each text; ``learn`` adds missing ones."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(words.texts), np.int64)
+        h = hash_ranges(words.texts.buf, words.start, words.end)
+        kinds, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.ids) > CACHE_IDS:
+            self.clear()
+        slot = np.searchsorted(self.keys, kinds)
+        new = np.ones(len(kinds), dtype=bool)
+        inside = slot < len(self.keys)
+        new[inside] = self.keys[slot[inside]] != kinds[inside]
+        if new.any():
+            learn(words, pick[new], kinds[new])
+            slot = np.searchsorted(self.keys, kinds)
+        size = self.size[slot][inverse]
+        to = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[slot][inverse] - to[:-1], size) + np.arange(int(to[-1]))]
+        return ids, np.diff(to[words.first])
+
+
 class WordCodec:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -68,13 +108,7 @@ class WordCodec:
         if ends:
             for token, i in spec["model"]["vocab"].items():
                 self.closes[i] = token.endswith(ends)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.cache = IdCache()
 
     def _learn(self, words: Words, pick: np.ndarray, keys: np.ndarray) -> None:
         fragments = [words.texts.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)]
@@ -98,11 +132,7 @@ class WordCodec:
             found = [x.ids for x in encode([fragments[r] for r in rows])]
             counts[lo : lo + len(rows)] = [len(x) for x in found]
             parts.append(np.array([i for x in found for i in x], dtype=np.uint32))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(counts)])[:-1]
-        self.ids = np.concatenate([self.ids, *parts])
-        keys = np.concatenate([self.keys, keys[order]])
-        rank = np.argsort(keys)
-        self.keys, self.at, self.size = keys[rank], np.concatenate([self.at, at])[rank], np.concatenate([self.size, counts])[rank]
+        self.cache.add(keys[order], counts, parts)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
@@ -110,24 +140,7 @@ class WordCodec:
             texts = ["" if x is None else x for x in column.to_pylist()]
             found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
-        words = fragments_of(texts_of(column))
-        if not len(words):
-            return np.zeros(0, np.uint32), np.zeros(len(words.texts), np.int64)
-        h = hash_ranges(words.texts.buf, words.start, words.end)
-        kinds, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.ids) > CACHE_IDS:
-            self.clear()
-        slot = np.searchsorted(self.keys, kinds)
-        new = np.ones(len(kinds), dtype=bool)
-        inside = slot < len(self.keys)
-        new[inside] = self.keys[slot[inside]] != kinds[inside]
-        if new.any():
-            self._learn(words, pick[new], kinds[new])
-            slot = np.searchsorted(self.keys, kinds)
-        size = self.size[slot][inverse]
-        to = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.at[slot][inverse] - to[:-1], size) + np.arange(int(to[-1]))]
-        return ids, np.diff(to[words.first])
+        return self.cache.ids_of(fragments_of(texts_of(column)), self._learn)
 
 
 def splits_on_space(spec: dict) -> bool:
