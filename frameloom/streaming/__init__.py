@@ -1,0 +1 @@
+"""Incremental pass 1: per-frame measures of files as they arrive."""
