@@ -146,14 +146,14 @@ def parabola(left, mid, right):
         return np.where(np.abs(d) < 1e-12, 0.0, np.clip(0.5 * (left - right) / d, -1.0, 1.0))
 
 
-def detect_stars(a: np.ndarray, most: int, stride: int = 991) -> np.ndarray:
-    """(x, y, flux) of the brightest strict peaks five sigma over the background, brightest first."""
+def detect_stars(a: np.ndarray, most: int, stride: int = 991, sigma: float = 5.0) -> np.ndarray:
+    """(x, y, flux) of the brightest strict peaks ``sigma`` over the background, brightest first."""
     h, w = a.shape
     if h < 5 or w < 5:
         return np.zeros((0, 3))
     median, noise = background(a, stride)
     core = a[2:-2, 2:-2]
-    peak = core >= median + 5 * noise
+    peak = core >= median + sigma * noise
     flux = np.zeros_like(core)
     for dy in range(-2, 3):
         for dx in range(-2, 3):

@@ -6,22 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the bounded sample that the ranges of an order are cut by.
+RANGE_SAMPLE = 4000
+
+
+def ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the range (from 0) that a row belongs to: ranges follow the order and hold like numbers of rows."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = df.count()
+    keys = df.select(*order)
+    found = [tuple(r) for r in keys.sample(False, min(1.0, RANGE_SAMPLE / max(n, 1)), 17).limit(2 * RANGE_SAMPLE).collect()]
+    found = sorted(set(k for k in found if None not in k))
+    cuts = [found[len(found) * k // width] for k in range(1, width)] if len(found) > width else []
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    key = F.struct(*(F.col(c) for c in order))
+    bounds = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(cut, order, strict=True))) for cut in cuts))
+    return df.withColumn(name, F.size(F.filter(bounds, lambda b: b <= key)))
+
+
 def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
     """Position (from 0) of each row in the order.
 
-    Rows are dealt to ranges of the order; each range numbers its own rows and
-    starts after the sizes of those before it, of which there is one number per
-    range.  Rows that tie in the order must be equal in all that matters.
+    Rows are dealt to ranges of the order, whose bounds come from a bounded sample;
+    each range numbers its own rows and starts after the sizes of those before it,
+    of which there is one number per range.  Rows that tie in the order must be
+    equal in all that matters.
     """
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    ranged = ranges(df, order, "__part")
     local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row per range
-    return local.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at") - 1)).drop("__part", "__at", "__n", "__before")
+    return local.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at") - 1)).drop("__part", "__at", "__before")
 
 
 def spread(df: DataFrame, at: str, reach: int, block: int = 4096) -> DataFrame:
