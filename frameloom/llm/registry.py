@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,7 +96,7 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op7_pieces, op8_multi_index, op9_token_files, op10_gam)}
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in (op1_token_counts, op2_hmm_scores, op3_packing, op4_rules, op5_substrings, op6_simhash, op7_pieces, op8_multi_index, op9_token_files, op10_gam)}
 
 
 def oracle_sql() -> dict[str, str]:
