@@ -151,7 +151,7 @@ def fit_flat_field(maps: pd.DataFrame, gw: int, gh: int) -> FlatField:
     interleaved halves, their agreement, smoothing.
     """
     frames = np.sort(maps.frame_idx.unique())
-    levels = maps.groupby("frame_idx").level.first()
+    levels = maps.groupby("frame_idx")["level"].first()
     positive = levels[levels > 0]
     ratio = float(positive.max() / max(positive.min(), 1e-9)) if len(positive) > 1 else 1.0
     none = FlatField(np.ones((3, gh, gw)), np.zeros(3), ratio, 0.0, float("inf"), False)

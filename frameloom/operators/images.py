@@ -19,7 +19,15 @@ from ..functions import kernels as K
 Kernel = Callable[[np.ndarray, dict], dict[str, np.ndarray]]
 
 
-def _run(kernel: Kernel, keep: list[str], made: list[str], channels: int, data: str):
+def _arrow(schema: str) -> pa.Schema:
+    """Arrow's types of a schema string (parsed on the driver)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _run(kernel: Kernel, keep: list[str], made: list[str], channels: int, data: str, kinds: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -34,7 +42,7 @@ def _run(kernel: Kernel, keep: list[str], made: list[str], channels: int, data:
                 rows.append(kernel(flat[off[k] : off[k + 1]].reshape(shape), row))
             cols = [batch.column(k) for k in keep]
             for name in made:
-                cols.append(pa.array([np.asarray(r[name]).ravel().tolist() if np.ndim(r[name]) else r[name] for r in rows]))
+                cols.append(pa.array([np.asarray(r[name]).ravel().tolist() if np.ndim(r[name]) else r[name] for r in rows], kinds.field(name).type))
             yield pa.RecordBatch.from_arrays(cols, [*keep, *made])
 
     return run
@@ -45,9 +53,7 @@ def map_images(images: DataFrame, kernel: Kernel, made: str, keep: tuple[str, ..
     kinds = dict(images.dtypes)
     names = [x.split()[0] for x in made.split(", ")]
     out = ", ".join([*(f"{k} {kinds[k]}" for k in keep), made])
-    body = _run(kernel, list(keep), names, channels, data)
-
-    return images.mapInArrow(body, out)
+    return images.mapInArrow(_run(kernel, list(keep), names, channels, data, _arrow(out)), out)
 
 
 def long_pixels(images: DataFrame, data: str = "data", value: str = "v", keep: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
@@ -124,12 +130,14 @@ def stack(warped: DataFrame, by: list[str], weight: str | None = None) -> DataFr
 
 def stack_tiles(warped: DataFrame, by: list[str]) -> DataFrame:
     """The same by whole tiles: each task adds its images up before anything moves; one array row per task and key."""
+    kinds, keys = dict(warped.dtypes), [*by, "h", "w"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "total array<double>, cover array<double>"])
+    types = _arrow(schema)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
+            for r in batch.to_pylist():
                 key = tuple(r[k] for k in [*by, "h", "w"])
                 data, cover = np.array(r["data"]), np.array(r["cover"], dtype=float)
                 if key in held:
@@ -138,12 +146,10 @@ def stack_tiles(warped: DataFrame, by: list[str]) -> DataFrame:
                 else:
                     held[key] = [data * cover, cover.copy()]
         if held:
-            keys = list(zip(*held, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys), *(pa.array([v[j].tolist() for v in held.values()]) for j in (0, 1))], [*by, "h", "w", "total", "cover"])
+            cols = [*zip(*held, strict=True), *([v[j].tolist() for v in held.values()] for j in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, types, strict=True)], types.names)
 
-    kinds = dict(warped.dtypes)
-    keys = [*by, "h", "w"]
-    part = warped.mapInArrow(partial, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "total array<double>, cover array<double>"]))
+    part = warped.mapInArrow(partial, schema)
     add = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
     lists = part.groupBy(*keys).agg(F.collect_list(F.struct("total", "cover")).alias("l"))  # a row per task
     first = F.get("l", F.lit(0))

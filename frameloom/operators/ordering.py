@@ -36,10 +36,10 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None =
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     ranged = ranges(df, order, "__part")
-    local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    local = ranged.withColumn("__within", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row per range
-    return local.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at") - 1)).drop("__part", "__at", "__before")
+    return local.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__within") - 1)).drop("__part", "__within", "__before")
 
 
 def spread(df: DataFrame, at: str, reach: int, block: int = 4096) -> DataFrame:
