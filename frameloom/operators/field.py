@@ -167,7 +167,7 @@ def fit_flat_field(maps: pd.DataFrame, gw: int, gh: int) -> FlatField:
     def field(which: slice) -> np.ndarray:
         out = []
         for c in range(3):
-            s = np.array([_slope(x[which], cube[c, which, j, i]) for j in range(gh) for i in range(gw)]).reshape(gh, gw)
+            s = _slopes(x[which], cube[c, which].reshape(len(x[which]), -1)).reshape(gh, gw)
             known = s[np.isfinite(s)]
             s = np.clip(s / max(median_of(known), 1e-9), 0.05, 20) if len(known) >= gw * gh // 4 else np.full_like(s, np.nan)
             out.append(lens_profile(s))
@@ -185,22 +185,24 @@ def fit_flat_field(maps: pd.DataFrame, gw: int, gh: int) -> FlatField:
     return FlatField(full, level, ratio, spread, disagreement, usable)
 
 
-def _slope(x: np.ndarray, y: np.ndarray) -> float:
-    ok = np.isfinite(y) & (x > 0)
-    x, y = x[ok], y[ok]
-    if len(x) < LEAST_SAMPLES:
-        return np.nan
-    keep, slope = np.ones(len(x), dtype=bool), np.nan
-    for k in range(PASSES):
-        mx, my = x[keep].mean(), y[keep].mean()
-        sxx = ((x[keep] - mx) ** 2).sum()
-        if sxx <= 1e-12:
-            break
-        slope = ((x[keep] - mx) * (y[keep] - my)).sum() / sxx
-        off = np.abs(y - (my + slope * (x - mx)))
-        if k + 1 < PASSES:
-            keep = off <= BAND * max(median_of(off), 1e-9)
-    return float(slope) if slope > 0 else np.nan
+def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Robust slope of every column of y over x, all columns side by side; NaN where there is none."""
+    ok = np.isfinite(y) & (x > 0)[:, None]
+    n, v, at = ok.sum(axis=0), np.where(ok, y, 0.0), x[:, None]
+    keep, slope = ok, np.full(y.shape[1], np.nan)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for k in range(PASSES):
+            w = keep.astype(float)
+            total = w.sum(axis=0)
+            mx, my = (w * at).sum(axis=0) / total, (w * v).sum(axis=0) / total
+            dx = w * (at - mx)
+            sxx = (dx * dx).sum(axis=0)
+            slope = np.where(sxx > 1e-12, (dx * (v - my)).sum(axis=0) / sxx, slope)
+            off = np.where(ok, np.abs(v - (my + slope * (at - mx))), np.inf)
+            if k + 1 < PASSES:
+                mad = np.take_along_axis(np.sort(off, axis=0), np.minimum(n // 2, len(x) - 1)[None, :], axis=0)[0]
+                keep = ok & (off <= BAND * np.maximum(mad, 1e-9))
+        return np.where((n >= LEAST_SAMPLES) & (slope > 0), slope, np.nan)
 
 
 def corrected(maps: DataFrame, field: DataFrame, level: float, value: str, frame_level: Column) -> DataFrame:

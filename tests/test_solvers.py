@@ -121,18 +121,14 @@ def test_foreground_finds_a_silhouette():
 
 
 def test_flat_field_recovers_vignetting():
-    gw, gh, n = 16, 12, 30
+    gw, gh, n = 130, 100, 26  # a grid fine enough for the lens profile's innermost bin
     _, _, r = L._radius(gh, gw)
     lens = 1 - 0.35 * r**2
     rng = np.random.default_rng(4)
-    rows = []
-    for k in range(n):
-        level = 0.2 + 0.02 * k
-        seen = lens * level + 0.03 * np.arange(gw)[None, :] / gw + rng.normal(0, 1e-4, (gh, gw))
-        for j in range(gh):
-            for i in range(gw):
-                rows.append((k, i, j, *([seen[j, i]] * 3), level))
-    maps = pd.DataFrame(rows, columns=["frame_idx", "gx", "gy", "r", "g", "b", "level"])
+    level = 0.2 + 0.02 * np.arange(n)
+    seen = lens * level[:, None, None] + 0.03 * np.arange(gw) / gw + rng.normal(0, 1e-4, (n, gh, gw))
+    k, j, i = (a.ravel() for a in np.mgrid[:n, :gh, :gw])
+    maps = pd.DataFrame({"frame_idx": k, "gx": i, "gy": j, "r": seen.ravel(), "g": seen.ravel(), "b": seen.ravel(), "level": level[k]})
     flat = L.fit_flat_field(maps, gw, gh)
     assert flat.usable and flat.lever > 2 and "applied" in flat.report()
     assert np.corrcoef(flat.t[1].ravel(), lens.ravel())[0, 1] > 0.95
