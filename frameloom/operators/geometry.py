@@ -5,10 +5,13 @@ A transform takes reference to frame places: q = R p + t.  Columns: cos_t, sin_t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
 from math import pi
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,35 +168,60 @@ def recovered(frames: pd.DataFrame, w: float, h: float, limit: float = IMPLAUSIB
 # ------------------------------------------------------------- star matching
 
 
+TRIANGLES = "frame_idx long, a long, b long, c long, inv0 double, inv1 double"
+
+
+def _triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    triples: dict[int, np.ndarray] = {}
+    for batch in batches:
+        lists = batch.column("s")
+        off, stars = lists.offsets.to_numpy(), lists.values.flatten()
+        ids, x, y = (v.to_numpy(zero_copy_only=False) for v in stars)
+        frames, picked = [], []
+        for frame, lo, hi in zip(batch.column("frame_idx").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+            n = hi - lo
+            if n not in triples:
+                triples[n] = np.array(list(combinations(range(n), 3)), dtype=np.int64).reshape(-1, 3)
+            picked.append(triples[n] + lo)
+            frames.append(np.full(len(triples[n]), frame))
+        at = np.concatenate(picked) if picked else np.zeros((0, 3), np.int64)
+        i, j, k = at.T
+        d = np.stack([np.sqrt((x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2) for p, q in ((i, j), (j, k), (i, k))], axis=1)
+        rank = np.argsort(d, axis=1, kind="stable")
+        d = np.take_along_axis(d, rank, axis=1)
+        corner = np.take_along_axis(ids[np.stack([k, i, j], axis=1)], rank, axis=1)  # opposite each side
+        ok = d[:, 2] >= 1e-3 if len(d) else np.zeros(0, dtype=bool)
+        d, corner = d[ok], corner[ok]
+        frame = np.concatenate(frames)[ok] if frames else np.zeros(0, np.int64)
+        cols = [frame, *corner.T, d[:, 0] / d[:, 2], d[:, 1] / d[:, 2]]
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["frame_idx", "a", "b", "c", "inv0", "inv1"])
+
+
 def triangles(stars: DataFrame) -> DataFrame:
     """Every triple of a frame's stars: corners by rising opposite side, sides over the longest.
 
-    Star lists are short by construction (the brightest few), and a frame's list travels as one array.
+    Star lists are short by construction (the brightest few); a frame's list travels as one array
+    and its triples are made at once.
     """
-    lists = stars.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("star_id", "x", "y"))).alias("s"))
-    later = lambda a: F.filter("s", lambda x: x["star_id"] > a["star_id"])
-    out = lists.select("frame_idx", "s", F.explode("s").alias("i"))
-    out = out.select("frame_idx", "s", "i", F.explode(later(F.col("i"))).alias("j"))
-    out = out.select("frame_idx", "i", "j", F.explode(later(F.col("j"))).alias("k"))
-    i, j, k = F.col("i"), F.col("j"), F.col("k")
-    side = lambda a, b, rank, opposite: F.struct(F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])).alias("d"), F.lit(rank).alias("rank"), opposite["star_id"].alias("corner"))
-    out = out.select("frame_idx", F.array_sort(F.array(side(i, j, 0, k), side(j, k, 1, i), side(i, k, 2, j))).alias("sides"))
-    d = lambda n: F.get("sides", F.lit(n))
-    out = out.where(d(2)["d"] >= 1e-3)
-    return out.select("frame_idx", *(d(n)["corner"].alias(c) for n, c in enumerate("abc")), (d(0)["d"] / d(2)["d"]).alias("inv0"), (d(1)["d"] / d(2)["d"]).alias("inv1"))
+    star = F.struct(F.col("star_id").cast("long").alias("star_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    lists = stars.groupBy(F.col("frame_idx").cast("long").alias("frame_idx")).agg(F.sort_array(F.collect_list(star)).alias("s"))
+    return lists.mapInArrow(_triangles, TRIANGLES)
 
 
 def triangle_votes(tri: DataFrame, step: int = 1, band: float = BAND) -> DataFrame:
     """(frame_idx, ref_star, cur_star, votes) between each frame and the one ``step`` later.
 
-    The band on both ratios becomes an equality of buckets (nine neighbours on one side) and an exact test.
+    The band on both ratios becomes an equality of buckets twice as wide (a value and its band meet
+    at most two of them each way, so one side has four copies at most) and an exact test.
     """
-    b0, b1 = F.floor(F.col("inv0") / band), F.floor(F.col("inv1") / band)
-    left = tri.select("frame_idx", "a", "b", "c", "inv0", "inv1", b0.alias("k0"), b1.alias("k1"))
-    near = F.array(*(F.struct((b0 + i).alias("k0"), (b1 + j).alias("k1")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    right = tri.select((F.col("frame_idx") - step).alias("frame_idx"), *(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "inv0", "inv1")), F.explode(near).alias("k"))
-    right = right.select("*", "k.k0", "k.k1").drop("k")
-    hits = left.join(right, ["frame_idx", "k0", "k1"]).where((F.abs(F.col("inv0") - F.col("inv02")) < band) & (F.abs(F.col("inv1") - F.col("inv12")) < band))
+    bucket = lambda v, by=0.0: F.floor((F.col(v) + by) / (2 * band))
+    left = tri.select("frame_idx", "a", "b", "c", "inv0", "inv1", bucket("inv0").alias("k0"), bucket("inv1").alias("k1"))
+    reach = lambda v: F.explode(F.array_distinct(F.array(bucket(v, -band), bucket(v, band))))
+    right = tri.select((F.col("frame_idx") - step).alias("frame_idx"), *(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "inv0", "inv1")), reach("inv0").alias("k0"))
+    right = right.select("*", F.explode(F.array_distinct(F.array(bucket("inv12", -band), bucket("inv12", band)))).alias("k1"))
+    # the estimate of an exploded side's size is that of its source, so it must not pick a broadcast
+    hits = left.join(right.hint("merge"), ["frame_idx", "k0", "k1"]).where((F.abs(F.col("inv0") - F.col("inv02")) < band) & (F.abs(F.col("inv1") - F.col("inv12")) < band))
     pairs = F.explode(F.array(*(F.struct(F.col(c).alias("ref_star"), F.col(f"{c}2").alias("cur_star")) for c in "abc")))
     return hits.select("frame_idx", pairs.alias("p")).groupBy("frame_idx", "p.ref_star", "p.cur_star").agg(F.count(F.lit(1)).alias("votes"))
 
