@@ -264,7 +264,8 @@ def starting_model(rows: list[dict], k: int = STATES) -> Model:
 
 def train_model(coded: DataFrame, k: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch rounds over every training text of ``coded``."""
-    seed = coded.select("chunk", "n_tokens", "train", "token", "classes").orderBy(F.xxhash64("chunk")).limit(SEED_CHUNKS).collect()
+    picked = [r.chunk for r in coded.select("chunk").orderBy(F.xxhash64("chunk")).limit(SEED_CHUNKS).collect()]
+    seed = coded.where(F.col("chunk").isin(picked)).select("n_tokens", "train", "token", "classes").collect()
     model = starting_model([r.asDict() for r in seed], k)
     for _ in range(rounds):
         flat = _summed(coded.select("n_tokens", "train", "token", "classes").mapInArrow(_expect(model), "counts binary"))
