@@ -18,6 +18,8 @@ from ..operators import catalog as G
 from ..operators import field as L
 from ..operators import geometry as T
 from ..operators import images as I
+from ..operators import models as M
+from ..operators import solvers as S
 from ..operators import windows as W
 from . import views as V
 from .session import ship
@@ -599,3 +601,38 @@ def ncc_shift(spark, sf_dir):
 
     return rounded(I.ncc_shift(images, reference, 2), "ncc").select("frame_idx", "ncc")
 
+
+
+# ------------------------------------------------- fits that SQL can't express
+
+
+def _cells(spark, sf_dir):
+    """Each session's median image as a grid."""
+    return _grid(spark, sf_dir)
+
+
+@query()
+def poly_radial_fit(spark, sf_dir):
+    return rounded(M.smooth_models(_cells(spark, sf_dir), ["session"], 8, 8, 32), "fitted", "resid")
+
+
+@query()
+def surface_fit(spark, sf_dir):
+    return rounded(M.surfaces(_cells(spark, sf_dir), ["session"], 8, 8, 32, 2, 2.0), "fitted")
+
+
+@query()
+def foreground_mask(spark, sf_dir):
+    p = V.pixels(spark, sf_dir).select("frame_idx", F.col("x").alias("gx"), F.col("y").alias("gy"), (F.col("v") + 1.0).alias("v"))
+    return M.foreground_masks(p, 8, 8, 32)
+
+
+@query()
+def frame_anomaly(spark, sf_dir):
+    p = V.pixels(spark, sf_dir).select("frame_idx", F.col("x").alias("gx"), F.col("y").alias("gy"), (F.col("v") + 1.0).alias("v"))
+    cells = p.groupBy("gx", "gy").agg(C.upper_median("v").alias("v")).collect()  # the session's map: a row per cell
+    session = np.zeros((8, 8))
+    for c in cells:
+        session[c.gy, c.gx] = c.v
+    model = S.fit_glare(session, 32, centre=(128.0, 128.0), with_surface=False)
+    return rounded(M.frame_anomalies(p, session, model), "gain", "dome", "pedestal", "spread", "level_ratio")

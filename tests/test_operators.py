@@ -188,3 +188,25 @@ def test_options():
     with pytest.raises(ValueError):
         Config("in", "out", max_stars=3).checked()
     assert W.half_window(6) == 3 and W.half_window(7) == 3 and W.half_window(0) == 0
+
+
+def test_centre_search_in_parallel_equals_the_plain_one(spark):
+    from frameloom.operators import models as M
+    from frameloom.operators import solvers as S
+
+    x, y = S.centres(20, 14, 32)
+    seen = 1.0 + 0.3 * np.exp(-((np.hypot(x - 350, y - 200) / 150) ** 2))
+    assert M.centre_search(spark, seen, 32, levels=1) == S.find_centre(seen, 32, levels=1)
+
+
+def test_grouped_fits_equal_plain_ones(spark):
+    from frameloom.operators import models as M
+    from frameloom.operators import solvers as S
+
+    rng = np.random.default_rng(8)
+    grids = {k: 1.0 + 0.1 * rng.random((9, 12)) for k in range(3)}
+    rows = [(k, x, y, float(g[y, x])) for k, g in grids.items() for y in range(9) for x in range(12)]
+    cells = spark.createDataFrame(rows, "session int, gx int, gy int, v double").repartition(4)
+    for r in M.surfaces(cells, ["session"], 12, 9, 32, 2, 2.0).collect():
+        want, _ = S.fit_surface(grids[r.session], np.ones((9, 12), dtype=bool), 32, 2, 2.0, symmetric=True)
+        assert r.fitted == pytest.approx(float(want.at(r.gx * 32 + 16.0, r.gy * 32 + 16.0)), abs=1e-9)

@@ -9,13 +9,24 @@ from frameloom.plans import queries as Q
 from .compare import assert_same
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_equals_sql(name, spark, duck, small):
     got = Q.QUERIES[name](spark, small).toPandas()
     want = duck.execute(Q.ORACLES[name]).df()
     assert_same(got, want)
 
 
+def test_fits_return_a_row_per_cell_or_frame(spark, small):
+    from frameloom.plans import views
+
+    sessions = views.images(spark, small).select("session").distinct().count()
+    frames = views.images(spark, small).count()
+    want = {"poly_radial_fit": 64 * sessions, "surface_fit": 64 * sessions, "foreground_mask": 64 * frames, "frame_anomaly": frames}
+    assert set(want) == set(Q.QUERIES) - set(Q.ORACLES)
+    for name, n in want.items():
+        assert Q.QUERIES[name](spark, small).count() == n, name
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
