@@ -35,7 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _clear() -> None:
+    """Delete this process's tables when it ends, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    for folder in _FOLDERS:
+        try:
+            delete(spark, folder)
+        except Exception:  # noqa: BLE001, S112  the session may be gone: then its cluster clears the folder
+            continue
+
+
+_FOLDERS: set[str] = set()
+atexit.register(_clear)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
+    _FOLDERS.add(f"{shared_dir(spark)}/frameloom-{_RUN}")
     return f"{shared_dir(spark)}/frameloom-{_RUN}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
