@@ -9,8 +9,9 @@ whole file; a reader that wants some documents reads the two tables from the end
 then only those documents' frames, and verifies their checksums.
 
 Writing: texts are encoded where they are read and only compressed frames move:
-one exchange by document id ranges (bounds from the ids of a table that is already
-written), one file per range.  Files get a fresh name per attempt and only names
+one exchange by document id ranges, one file per range.  The bounds of the ranges
+come from a sample of the id column, a bounded number of ids per file; they decide
+which file a document goes to, never whether.  Files get a fresh name per attempt and only names
 returned by successful tasks enter the manifest, so a task that runs twice leaves
 at most an unread file.  Paths may be of any file system that pyarrow opens.
 
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import new_path
 from .textkit import pack, steps, unpack
 from .wordcodec import codec
 
@@ -47,10 +48,11 @@ SEEK_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
-#: Compressed bytes of a file, about.
-FILE_BYTES = 64 << 20
+#: Documents of a file, about, and sampled ids per file.
+FILE_DOCS, SAMPLED_IDS = 20_000, 20
+LEVEL = 3
 
-FRAMES = "id long, n long, crc long, xxh long, raw long, frame binary"
+FRAMES = "part int, id long, n long, crc long, xxh long, raw long, frame binary"
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 READ = "id long, start long, n_tokens long, ids_crc32 long, path string"
 
@@ -59,9 +61,9 @@ def frame_of(ids: bytes, packer: zstandard.ZstdCompressor) -> tuple[bytes, int]:
     return packer.compress(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer = codec(path), zstandard.ZstdCompressor(level=1)
+        own, packer = codec(path), zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for step in steps(batch, "text"):
                 ids, size = own.encode(step.column("text"))
@@ -71,9 +73,12 @@ def _encode(path: str, end_id: int):
                 ends = np.cumsum(size) * 4
                 docs = [bytes(raw[a:b]) for a, b in zip((ends - size * 4).tolist(), ends.tolist(), strict=True)]
                 frames = [frame_of(x, packer) for x in docs]
+                ids = step.column("id")
+                part = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+                part = np.where(ids.is_valid().to_numpy(zero_copy_only=False), part, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [step.column("id"), pa.array(size), pa.array([zlib.crc32(x) for x in docs], pa.int64()), pa.array([x for _, x in frames], pa.int64()), pa.array([len(x) for x in docs], pa.int64()), pa.array([x for x, _ in frames], pa.binary())],
-                    ["id", "n", "crc", "xxh", "raw", "frame"],
+                    [pa.array(part, pa.int32()), ids, pa.array(size), pa.array([zlib.crc32(x) for x in docs], pa.int64()), pa.array([x for _, x in frames], pa.int64()), pa.array([len(x) for x in docs], pa.int64()), pa.array([x for x, _ in frames], pa.binary())],
+                    ["part", "id", "n", "crc", "xxh", "raw", "frame"],
                 )
 
     return run
@@ -137,11 +142,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
         folder = folder.replace("file:/", "file:///") if folder.startswith("file:/") else f"file://{folder}"
     _make(folder)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    frames = written(slim.mapInArrow(_encode(tokenizer, end_id), FRAMES), "frames")
-    size = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
-    width = max(size // FILE_BYTES + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (1 << 20) + 1))
+    n = slim.count()
+    width = max(n // FILE_DOCS + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 200 + 1))
+    ids = slim.select("id").where("id IS NOT NULL").sample(False, min(1.0, SAMPLED_IDS * width / max(n, 1)), 29).limit(2 * SAMPLED_IDS * width)
+    found = np.sort(np.array([r.id for r in ids.collect()], dtype=np.int64))
+    cuts = found[len(found) * np.arange(1, width) // width] if len(found) else found
+    frames = slim.mapInArrow(_encode(tokenizer, end_id, cuts), FRAMES)
     order = [F.col("id").asc_nulls_first(), F.col("crc"), F.col("raw")]
-    ranged = frames.repartitionByRange(int(width), *order).sortWithinPartitions(*order)
+    ranged = frames.repartitionById(int(width), "part").sortWithinPartitions(*order)
     rows = sorted(ranged.mapInArrow(_write(folder), MANIFEST).collect(), key=lambda r: r.part)  # one row per file
     before = np.concatenate([[0], np.cumsum([r.n_ids for r in rows])]).tolist()
     made = [(r.part, r.path, r.n_docs, r.n_ids, before[k]) for k, r in enumerate(rows)]
