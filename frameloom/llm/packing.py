@@ -42,7 +42,7 @@ from .wordcodec import codec
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 200
-SHARD_PIECES = 20_000
+SHARD_PIECES = 2_000
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
