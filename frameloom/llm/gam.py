@@ -38,6 +38,9 @@ BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES, RIDGE = 120, 60, 0.1, 3, 1.0
 THRESHOLD = 0.3
 
+#: Bytes of text measured at once: many arrays of a word or a byte each are alive at a time.
+STEP_BYTES = 1 << 20
+
 MEASURES = (
     "log_words", "word_length", "symbols", "bangs", "capitals", "digits", "marks", "other_bytes",
     "echo", "distinct", "top_word", "repeat_lines", "line_length", "repeat_runs", "longest",
@@ -232,7 +235,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Gam:
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for step in steps(batch, "text"):
+        for step in steps(batch, "text", STEP_BYTES):
             x = measures(step.column("text"))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([rows, step.column("y")], ["x", "y"])
@@ -255,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
 def _scored(model: Gam):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(batch, "text", STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(model.score(measures(step.column("text"))))], ["id", "score"])
 
     return run
@@ -272,7 +275,7 @@ def accepted(docs: DataFrame, model: Gam, text_col: str = "text", threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch, text_col):
+            for step in steps(batch, text_col, STEP_BYTES):
                 yield step.filter(pa.array(model.score(measures(step.column(text_col))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
