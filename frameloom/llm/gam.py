@@ -8,13 +8,14 @@ four-leaf tree explains best get two-way tables in the same way.  A score is the
 sum of table entries through the logistic function: searches for bins and vector
 additions, no tree is walked.
 
-The model is fitted on at most ``MAX_LABELLED`` labelled rows, the first by a hash
+The model is fitted on at most ``MAX_LABELLED`` labelled ids, the first by a hash
 of the id (a documented bound); the cuts of bins come from the same rows.  The
 model is a few kilobytes.  Every text is measured whole and scored where it is
 read: one scan, no shuffle.
 
 Defined cases: a null text counts as empty and gets a score like any other (all
-measures zero); rows that repeat an id are scored alike, each on its own; labels
+measures zero); rows that repeat an id are scored alike, each on its own, and teach
+once, by the smallest label and the text with the smallest measures; labels
 with a null id, a null label or no document teach nothing; with no labels, or of
 one kind only, the score is the share of label 1 with one row of each kind added;
 a row with a null id is scored and counts as held out; an empty table gives an
@@ -238,17 +239,18 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for step in steps(batch, "text", STEP_BYTES):
             x = measures(step.column("text"))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([rows, step.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([step.column("id"), rows, step.column("y")], ["id", "x", "y"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Gam:
-    """Fit on at most ``most`` of the labelled rows for which ``learn`` (over ``id_col``) holds."""
+    """Fit on at most ``most`` of the labelled ids for which ``learn`` (over ``id_col``) holds."""
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).where(learn)
     picked = known.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    picked = picked.orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    picked = picked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("text", "y")  # at most ``most`` rows are broadcast
-    found = rows.mapInArrow(_measure_batches, "x array<double>, y int").limit(2 * most).toArrow()
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "y")  # at most ``most`` rows are broadcast
+    measured = rows.mapInArrow(_measure_batches, "id long, x array<double>, y int")
+    found = measured.groupBy("id").agg(F.min(F.struct("x", "y")).alias("row")).select("row.*").toArrow()  # a row per picked id
     y = found.column("y").to_numpy().astype(np.float64)
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(len(y), len(MEASURES))
     rank = np.lexsort((*x.T, y))  # whatever order rows arrive in

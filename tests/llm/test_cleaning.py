@@ -248,6 +248,20 @@ def test_classifier_learns_planted_quality_and_ignores_the_rest(spark, small, od
     np.testing.assert_allclose(again.score(x), model.score(x))
 
 
+def test_copies_of_a_labelled_id_leave_the_sample_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"copy {k}") for k in range(200)] + [(i, "word " * i) for i in range(1, 10)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(0, 1)] * 50 + [(i, i % 2) for i in range(1, 10)] + [(3, 0)], "doc_id long, quality int").repartition(3)
+    seen = []
+    monkeypatch.setattr(M, "train", lambda x, y: seen.append((x, y)))
+    M.fit(docs, labels, F.lit(True), most=10)
+    (x, y) = seen[0]
+    assert len(y) == 10 and y.sum() == 5  # every id once; of an id's labels the smallest
+    counts = np.rint(np.expm1(x[:, M.MEASURES.index("log_words")])).astype(int)
+    assert sorted(counts) == sorted([2, *range(1, 10)])
+    M.fit(docs.where("doc_id > 0"), labels, F.lit(True), most=10)
+    assert len(seen[1][1]) == 9
+
+
 def test_tables_of_a_planted_interaction():
     rng = np.random.default_rng(3)
     x = rng.random((3000, 3))
