@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from frameloom.llm import gam as M
 from frameloom.llm import multiindex as N
 from frameloom.llm import registry as R
 from frameloom.llm import rules as Q
+from frameloom.llm import similar as Z
 from frameloom.llm import simhash as S
 from frameloom.llm import substrings as D
 
@@ -184,6 +186,40 @@ def test_components_of_chains_and_stars(spark):
     assert C.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# ------------------------------------------------------------- similar
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := [x.lower() for x in words(t)]) else set() for t in (a, b))
+    return len(x & y) / max(len(x | y), 1)
+
+
+def test_near_copies_of_the_stage_are_those_of_the_rule(spark, odd, empty):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):  # copies with one to six words changed: similarities on both sides of 0.8
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 2, 3, 3, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(120), changes):
+                copy[at] = f"new{rng.randint(0, 5000)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), texts[0].replace(" ", "\n"), "", None, "two words", "Two  words"]
+    order = rng.sample(range(len(texts)), len(texts))
+    df = spark.createDataFrame([(i, texts[k], "x") for i, k in enumerate(order)] + [(None, texts[0], "x")], "doc_id long, text string, lang string").repartition(5)
+    text = {i: texts[k] or "" for i, k in enumerate(order)}
+    want = roots(list(text), lambda a, b: jaccard(text[a], text[b]) >= 0.8 or words(text[a]) == words(text[b]))
+    kept = P.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} - {None} == set(want.values())
+    assert len(set(want.values())) < 2 * len(text) / 3
+    assert len(Z.first_of_each(odd).where("doc_id IS NULL").collect()) == odd.where("doc_id IS NULL").count()
+    assert Z.first_of_each(empty).count() == 0
+
+
 # ------------------------------------------------------------- multi-index
 
 
