@@ -10,7 +10,8 @@ spaces with what follows up to the next space; that is exact for a model without
 character map whose pieces hold the marker only at their start (``by_fragment``);
 other models are encoded text by text.  Fragments go to the library in batches,
 which it encodes on several threads.  Parity: every distinct fragment is encoded by
-SentencePiece as well; where the two differ its ids are used and counted.
+SentencePiece as well; a fragment where the two differ takes its ids, and ``checked``
+gives the number of such fragments of each text.
 
 Decoding puts pieces' bytes together: marker to space, byte pieces to bytes, the
 leading space that encoding added taken away; bytes that aren't UTF-8 become
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Texts, Words, padded, steps, texts_of
+from .textkit import Texts, Words, hash_ranges, padded, steps, texts_of
 from .wordcodec import IdCache
 
 MARK = "▁"
@@ -188,40 +189,55 @@ class PieceCodec:
         self.tokenizer = tokenizer_of(self.model, prefix=not self.by_fragment)
         self.cache = IdCache()
         self.differ = 0
+        self.odd = np.zeros(0, np.uint64)
         parts = piece_bytes(self.model)
         self.piece_at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         self.piece_flat = np.frombuffer(b"".join(parts), np.uint8)
 
-    def _both(self, texts: list[str], bare: list[str]) -> list[list[int]]:
-        found = []
+    def _both(self, texts: list[str], bare: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """Ids of the tokenizers library, but SentencePiece's where the two differ; and where they do."""
+        found, odd = [], []
         for lo in range(0, len(texts), BATCH):
             ours = [x.ids for x in self.tokenizer.encode_batch_fast(texts[lo : lo + BATCH], add_special_tokens=False)]
             theirs = self.plain.encode(bare[lo : lo + BATCH], num_threads=1)
-            self.differ += sum(a != b for a, b in zip(ours, theirs, strict=True))
-            found += theirs if ours != theirs else ours
-        return found
+            other = [a != b for a, b in zip(ours, theirs, strict=True)]
+            self.differ += sum(other)
+            found += [b if o else a for a, b, o in zip(ours, theirs, other, strict=True)]
+            odd += other
+        return found, np.array(odd, dtype=bool)
 
     def _learn(self, words: Words, pick: np.ndarray, keys: np.ndarray) -> None:
         texts = [words.texts.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)]
-        found = self._both(texts, [x[1:] for x in texts])
+        found, odd = self._both(texts, [x[1:] for x in texts])
         # a lone space: SentencePiece gives no ids to an empty text, but a space inside one has its marker
         for k, x in enumerate(texts):
             if x == " ":
                 found[k] = self.tokenizer.encode(x, add_special_tokens=False).ids
+                odd[k] = False
+        self.odd = np.union1d(self.odd, keys[odd])
         self.cache.add(keys, np.array([len(x) for x in found], dtype=np.int64), [np.array([i for x in found for i in x], dtype=np.uint32)])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
+        return self.encode_both(column)[:2]
+
+    def encode_both(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode, with the number of fragments of each text on which the two libraries differ."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         if not self.by_fragment:
             texts = column.to_pylist()
-            found = self._both(texts, texts)
-            return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+            found, odd = self._both(texts, texts)
+            return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64), odd.astype(np.int64)
         column = pc.replace_substring(column, MARK, " ")
         has = pc.greater(pc.binary_length(column), 0)
         lead = pa.scalar(" ", pa.large_string())
         led = pc.if_else(has, pc.binary_join_element_wise(lead, column, pa.scalar("", pa.large_string())), column)
-        return self.cache.ids_of(_fragments(texts_of(led)), self._learn)
+        parts = _fragments(texts_of(led))
+        ids, counts = self.cache.ids_of(parts, self._learn)
+        if not len(self.odd):
+            return ids, counts, np.zeros(len(counts), np.int64)
+        odd = np.isin(hash_ranges(parts.texts.buf, parts.start, parts.end), self.odd)
+        return ids, counts, np.diff(np.concatenate([[0], np.cumsum(odd)])[parts.first])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> Texts:
         """Bytes of the texts of these ids (UTF-8, but for byte pieces that aren't)."""
@@ -249,7 +265,7 @@ def _fragments(texts: Texts) -> Words:
 
 
 ENCODED = "id long, n_tokens long, ids binary"
-CHECKED = "id long, n_tokens long, ids_crc32 long, decoded_bytes long, round_trip boolean"
+CHECKED = "id long, n_tokens long, ids_crc32 long, decoded_bytes long, round_trip boolean, n_differ long"
 
 
 def _encode(path: str):
@@ -282,13 +298,13 @@ def _check(path: str):
         own = codec(path)
         for batch in batches:
             for step in steps(batch, "text"):
-                ids, counts = own.encode(step.column("text"))
+                ids, counts, differ = own.encode_both(step.column("text"))
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), (np.cumsum(counts) * 4).tolist()
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 back = own.decode(ids, counts)
                 texts = texts_of(step.column("text"))
                 same = [back.raw(k) == texts.raw(k) for k in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(back.offsets), pa.int64()), pa.array(same, pa.bool_())], ["id", "n_tokens", "ids_crc32", "decoded_bytes", "round_trip"])
+                yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(back.offsets), pa.int64()), pa.array(same, pa.bool_()), pa.array(differ, pa.int64())], ["id", "n_tokens", "ids_crc32", "decoded_bytes", "round_trip", "n_differ"])
 
     return run
 
@@ -308,5 +324,5 @@ def decoded(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
 
 
 def checked(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens, ids_crc32, decoded_bytes, round_trip: encodes, decodes and compares every text."""
+    """``id_col``, n_tokens, ids_crc32, decoded_bytes, round_trip, n_differ (fragments on which the libraries differ): encodes, decodes and compares every text."""
     return _slim(docs, id_col, text_col, "text").mapInArrow(_check(path), CHECKED).withColumnRenamed("id", id_col)

@@ -63,6 +63,22 @@ def test_pieces_equal_sentencepiece_both_ways(odd, empty, piece_bpe):
     assert sum(not r.round_trip for r in checked) == 1  # the literal marker becomes a space
 
 
+def test_fragments_that_differ_are_counted_and_replaced_alone(piece_bpe):
+    own = P.PieceCodec(piece_bpe)
+    plain = own.plain
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[7, 7] if x == "bad" else [*plain.encode(x)] for x in texts]
+
+    own.plain = Other()
+    ids, n, differ = own.encode_both(pa.array(["good  words", "bad good bad", None, "", "bad"]))
+    assert differ.tolist() == [0, 2, 0, 0, 1]
+    at = np.concatenate([[0], np.cumsum(n)])
+    assert ids[at[4] : at[5]].tolist() == [7, 7]
+    assert ids[at[1] : at[2]].tolist() == [7, 7, *plain.encode("good"), 7, 7]
+
+
 def varint(n):
     out = b""
     while n > 127:
