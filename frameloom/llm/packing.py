@@ -4,13 +4,16 @@ Method: a configuration linear program over the length histogram.  There are at
 most ``capacity`` different piece lengths, so the histogram is a fixed-size table
 however many documents there are; it is all that reaches the driver.  The program
 (fewest sequences, each filled by a configuration of lengths, covering the
-histogram) is solved by multiplicative weights: lengths have weights, a knapsack
-dynamic program prices them and returns the best configuration, the
-configuration is used, and the weights of the lengths it covers shrink in
-proportion to what they have got.  The fractional solution is rounded down; what
-is left, a few sequences per configuration, is packed best-fit decreasing on the
-histogram.  The result is compared with best-fit decreasing over the whole
-histogram and the shorter of the two is kept.
+histogram) is solved by multiplicative weights: lengths have weights, and a
+knapsack dynamic program, bounded by the pieces still there, prices them.  One
+table of it gives the best configuration around every length.  Those that fill a
+sequence are used for up to half of the pieces they need, a whole number of
+times (the rounding); the weight of a length shrinks with the share of its pieces
+used and with each configuration that found none left, so that lengths which lag
+come to lead.  A round that places nothing lets configurations fall short of a
+full sequence, by one token and then twice as many each time.  Rounds end when
+``REST`` of the tokens are left; those are packed best-fit decreasing.  There is
+no other packing: what the program places stays.
 
 Pieces find their places without a global sort: within a length, pieces are
 numbered by shard (shards of ``SHARD_PIECES``, dealt by a hash of the piece), so a
@@ -41,9 +44,12 @@ from .wordcodec import codec
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 200
 SHARD_PIECES = 2_000
 
+#: Rounds of the program; the share of the tokens that it may leave; how fast weights shrink, and how far;
+#: the power of a length that it is worth (over 1: the small ones are kept for the gaps).
+ROUNDS, REST, ETA, LEAST_LEAN, LARGE_FIRST = 60, 0.03, 0.1, -3.0, 1.02
+
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,28 +106,51 @@ class Plan:
         return int(self.times.sum())
 
 
-def price(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in the heaviest configuration (a knapsack by dynamic programming over capacities)."""
+def _knapsack(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity: int):
+    """Bounded knapsack over all capacities: a row of ``took`` per lot of copies, the last lot taken at each capacity (-1: none)."""
+    kinds, lots = [], []
+    for k, n in enumerate(np.minimum(most, capacity // lengths).tolist()):
+        lot = 1
+        while n > 0:  # lots of 1, 2, 4, ... copies make up any number
+            kinds.append(k)
+            lots.append(min(lot, n))
+            n, lot = n - lot, 2 * lot
+    kinds, lots = np.array(kinds, dtype=np.int64), np.array(lots, dtype=np.int64)
+    size, gain = lengths[kinds] * lots, weights[kinds] * lots
     best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        if n:
-            gain = best[c - lengths[:n]] + weights[:n]
-            k = int(np.argmax(gain))
-            best[c], took[c] = gain[k], k
-        if best[c - 1] >= best[c]:
-            best[c], took[c] = best[c - 1], -1
+    took = np.full((len(kinds) + 1, capacity + 1), -1, dtype=np.int32)
+    for i, (x, g) in enumerate(zip(size.tolist(), gain.tolist(), strict=True)):
+        made = best[: capacity + 1 - x] + g
+        better = made > best[x:]
+        took[i + 1] = took[i]
+        took[i + 1, x:][better] = i
+        best[x:][better] = made[better]
+    return took, kinds, lots, size
+
+
+def _fillings(priced, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The heaviest filling of each room: (place in ``room``, kind, copies), by place, and the room it leaves."""
+    took, kinds, lots, size = priced
+    room, live = room.copy(), np.arange(len(room))
+    last = np.full(len(room), len(took) - 1)
+    parts = []
+    while len(live):
+        t = took[last[live], room[live]]
+        live, t = live[t >= 0], t[t >= 0]
+        parts.append((live, t))
+        room[live] -= size[t]
+        last[live] = t
+    place, t = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(place, kind="stable")
+    return place[order], kinds[t[order]], lots[t[order]], room
+
+
+def price(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """Copies of each length, at most ``most``, in the heaviest configuration."""
     copies = np.zeros(len(lengths), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        k = took[c]
-        if k < 0:
-            c -= 1
-            continue
-        copies[k] += 1
-        c -= int(lengths[k])
-    return np.minimum(copies, np.maximum(most, 1))
+    _, kind, n, _ = _fillings(_knapsack(lengths, weights, most, capacity), np.array([capacity]))
+    np.add.at(copies, kind, n)
+    return copies
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -151,40 +180,53 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return out
 
 
+def program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Configurations of the covering program and how often each is used, and the pieces of each length that are left."""
+    left = counts.copy()
+    whole = float((counts * lengths).sum())
+    lean = np.zeros(len(lengths))  # logarithms of the weights, over what a length is worth by its size
+    used: dict[tuple, int] = {}
+    short = 0
+    for _ in range(rounds):
+        live = np.flatnonzero(left)
+        if not len(live) or (left * lengths).sum() <= REST * whole:
+            break
+        size, start = lengths[live], left[live]
+        lean -= lean[live].max()
+        weights = (size / capacity) ** LARGE_FIRST * np.exp(np.maximum(lean[live], LEAST_LEAN))
+        place, kind, n, room = _fillings(_knapsack(size, weights, start, capacity), capacity - size)
+        edge = np.searchsorted(place, np.arange(len(live) + 1)).tolist()
+        kind, n, there, at_most = kind.tolist(), n.tolist(), start.tolist(), np.maximum(start // 2, 1).tolist()
+        wanted = np.zeros(len(live))
+        placed = 0
+        near = np.flatnonzero(room <= short)
+        for k in near[np.argsort(-weights[near] / size[near], kind="stable")].tolist():
+            fill = {k: 1}
+            for j in range(edge[k], edge[k + 1]):
+                fill[kind[j]] = fill.get(kind[j], 0) + n[j]
+            times = min(min(there[j] // c, max(at_most[j] // c, 1)) for j, c in fill.items())
+            if times <= 0:
+                for j, c in fill.items():
+                    wanted[j] += there[j] < c
+                continue
+            for j, c in fill.items():
+                there[j] -= c * times
+            key = tuple(sorted((int(size[j]), c) for j, c in fill.items()))
+            used[key] = used.get(key, 0) + times
+            placed += times
+        left[live] = there
+        lean[live] -= ETA * (1 - left[live] / start + np.minimum(wanted, 2))
+        if not placed:
+            short = 2 * short + (not short)
+    return [(dict(key), times) for key, times in used.items()], left
+
+
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used, covering the histogram exactly."""
     rank = np.argsort(lengths)
     lengths, counts = lengths[rank].astype(np.int64), counts[rank].astype(np.int64)
-    plain = best_fit(lengths, counts, capacity)
-    least = -(-int((lengths * counts).sum()) // capacity)
-    # fractional covering: in each round the priced configuration is used as often as it can
-    # without covering more than a share of any length; weights grow for lengths that lag behind
-    covered = np.zeros(len(lengths))
-    used: dict[tuple[int, ...], float] = {}
-    eta = 6.0
-    for _ in range(rounds):
-        lag = covered / counts
-        weights = np.exp(-eta * (lag - lag.min())) * lengths / capacity
-        copies = price(lengths, weights, counts, capacity)
-        on = copies > 0
-        step = float((counts[on] / copies[on]).min()) * 0.5
-        step = max(step, least / rounds / 4)
-        covered += step * copies
-        key = tuple(np.repeat(np.flatnonzero(on), copies[on]).tolist())
-        used[key] = used.get(key, 0.0) + step
-        if (covered >= counts).all():
-            break
-    left = counts.copy()
-    out: list[tuple[dict[int, int], int]] = []
-    scale = 1.0 / max(1.0, float(np.max(covered / counts)))
-    for key, x in sorted(used.items(), key=lambda kv: -kv[1]):
-        kinds, copies = np.unique(np.array(key), return_counts=True)
-        times = min(int(x * max(scale, 0.5)), int((left[kinds] // copies).min()))
-        if times > 0:
-            left[kinds] -= times * copies
-            out.append(({int(lengths[k]): int(n) for k, n in zip(kinds, copies, strict=True)}, times))
-    out += best_fit(lengths, left, capacity)
-    return out if sum(t for _, t in out) <= sum(t for _, t in plain) else plain
+    found, left = program(lengths, counts, capacity, rounds)
+    return found + best_fit(lengths, left, capacity)
 
 
 def plan_of(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:

@@ -13,6 +13,10 @@ kind; others are encoded text by text.  Fragments are:
   with the other when normalised;
 - with A-Z lower-cased when the normaliser lower-cases.
 
+A text that holds the string of one of the tokenizer's added tokens (such as
+``<|endoftext|>``, which the library maps to the token's own id wherever it
+stands) is encoded by the library as a whole.
+
 A process keeps what it has encoded, up to CACHE_IDS ids, then starts anew.
 """
 
@@ -25,6 +29,7 @@ import threading
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .textkit import LOWER, Texts, Words, hash_ranges, texts_of, words_of
 
@@ -98,10 +103,10 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = splits_on_space(spec)
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         ends = spec["model"].get("end_of_word_suffix") or ""
         size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(size, dtype=bool)
@@ -137,10 +142,30 @@ class WordCodec:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
         if not self.by_word:
-            texts = ["" if x is None else x for x in column.to_pylist()]
-            found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
-        return self.cache.ids_of(fragments_of(texts_of(column)), self._learn)
+            return self._whole(column)
+        special = self._has_added(column)
+        if not special.any():
+            return self.cache.ids_of(fragments_of(texts_of(column)), self._learn)
+        # texts with an added token go to the library, the others by fragments; then both in their order
+        plain, plain_size = self.cache.ids_of(fragments_of(texts_of(pc.if_else(pa.array(special), "", column))), self._learn)
+        made, made_size = self._whole(column.filter(pa.array(special)))
+        size = plain_size.copy()
+        size[special] = made_size
+        source = np.repeat(special, size)
+        ids = np.empty(int(size.sum()), dtype=np.uint32)
+        ids[~source], ids[source] = plain, made
+        return ids, size
+
+    def _has_added(self, column: pa.Array) -> np.ndarray:
+        found = np.zeros(len(column), dtype=bool)
+        for x in self.added:
+            found |= pc.fill_null(pc.match_substring(column, x), False).to_numpy(zero_copy_only=False)
+        return found
+
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = ["" if x is None else x for x in column.to_pylist()]
+        found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
 
 
 def splits_on_space(spec: dict) -> bool:
