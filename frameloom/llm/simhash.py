@@ -4,19 +4,21 @@ Method: a byte-position inverted index with count filtering.  A fingerprint has
 eight positional bytes.  Two fingerprints that differ in at most ``max_bits``
 bits differ in at most that many bytes, so they share at least
 ``8 - max_bits`` positional bytes: the guaranteed minimum of matches.  Lists of
-one positional byte would hold 1/256 of the corpus each, so a posting list is
-keyed by as many positional bytes as must be shared: a fingerprint goes to one
-list for every choice of that many positions.  Within a list the shared
-positional bytes of a pair are tallied, pairs under the minimum fall, and the
-differing bits of the rest are counted.
+one positional byte would hold 1/256 of the corpus each, so lists are met in
+advance: the positions are taken in groups, and as at least
+``groups - max_bits`` groups of a pair hold no differing bit, a fingerprint is
+posted once for every choice of that many groups (two bits: four groups of two
+bytes, six lists keyed by four bytes).  In a list the shared positional bytes of
+every pair are tallied, pairs under the minimum fall, and the differing bits of
+the others are counted.
 
 Scale: copies are folded into one fingerprint class before anything is indexed,
-so a group of equal texts, of any size, is one entry.  A list of distinct
-fingerprints that agree on six bytes has at most 65,536 entries, and a list that
-is long is probed for the (few) fingerprints at each distance instead of paired
-off, so the work is linear in the list.  A fingerprint has at most 2,080
-neighbours at two bits, so links grow in proportion to classes.  Components come
-from alternating star contractions over DataFrames; nothing is collected.
+so a group of equal texts, of any size, is one entry.  A list is cut into blocks
+of about ``BLOCK`` entries and each pair of its blocks is a group of its own, so a
+list of any length is many tasks of one size.  Lists of four bytes hold N / 2**32
+unrelated fingerprints; a fingerprint has at most 2,080 neighbours at two bits,
+so links grow in proportion to classes.  Components come from alternating star
+contractions over DataFrames; nothing is collected.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; a text of fewer than three words has its whole sequence as the one
@@ -32,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -43,8 +45,11 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 
-#: Lists up to this long are compared pair by pair in one numpy step; longer ones are probed.
-PAIR_LIST = 256
+#: Entries of a list that one group compares with as many others, about.
+BLOCK = 1024
+
+#: Pairs of lists worked on at once.
+PAIR_STEP = 1 << 20
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -90,69 +95,79 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(_fingerprint_batches, "id long, fp long")
 
 
+def _groups(max_bits: int) -> list[tuple[int, ...]]:
+    """Positions of a fingerprint in groups, more than differing bits can touch."""
+    if not 0 <= max_bits <= 7:
+        raise ValueError("a fingerprint of eight bytes guarantees a shared one up to seven bits")
+    size = 2 if max_bits < 4 else 1
+    return [tuple(range(p, p + size)) for p in range(0, 8, size)]
+
+
 def _postings(fp, max_bits: int):
-    """One key for each choice of positions: the bytes there, and which choice it is."""
-    drops = list(combinations(range(8), max_bits))
-    masks = [((1 << 64) - 1) & ~sum(0xFF << (8 * p) for p in drop) for drop in drops]
-    keys = [F.struct(F.lit(i).cast("byte").alias("choice"), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes")) for i, m in enumerate(masks)]
+    """One key for each choice of groups that a pair may share: the bytes there, and which choice it is."""
+    groups = _groups(max_bits)
+    keys = []
+    for i, choice in enumerate(combinations(groups, len(groups) - max_bits)):
+        mask = sum(0xFF << (8 * p) for group in choice for p in group)
+        keys.append(F.struct(F.lit(i).cast("byte").alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bytes")))
     return F.explode(F.array(*keys))
 
 
-def _list_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (by place) of distinct fingerprints of one list within max_bits bits."""
-    need = 8 - max_bits
-    if len(fps) <= PAIR_LIST:
-        x = fps[:, None] ^ fps[None, :]
-        a, b = np.nonzero(np.triu(np.ones(x.shape, dtype=bool), 1))
-        x = x[a, b]
-    else:
-        differ = np.uint64(0)
-        for v in (fps ^ fps[0]).tolist():
-            differ |= np.uint64(v)
-        bits = [np.uint64(1 << k) for k in range(64) if int(differ) >> k & 1]
-        order = np.argsort(fps)
-        ranked = fps[order]
-        left, right = [], []
-        for d in range(1, max_bits + 1):
-            for flip in combinations(bits, d):
-                want = fps ^ np.bitwise_or.reduce(np.array(flip))
-                at = np.minimum(np.searchsorted(ranked, want), len(fps) - 1)
-                hit = np.flatnonzero((ranked[at] == want) & (want > fps))
-                left.append(hit)
-                right.append(order[at[hit]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        x = fps[a] ^ fps[b]
-    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # the tally of shared positional bytes
-    ok = shared >= need
-    a, b, x = a[ok], b[ok], x[ok]
-    near = np.bitwise_count(x) <= max_bits
-    return a[near], b[near]
+def _tally(x: np.ndarray) -> np.ndarray:
+    """Positional bytes that pairs share, from their differing bits."""
+    return (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def _near(u: np.ndarray, v: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of fingerprints, those that share the guaranteed bytes and then differ in few enough bits."""
+    x = u ^ v
+    enough = _tally(x) >= 8 - max_bits
+    u, v, x = u[enough], v[enough], x[enough]
+    close = np.bitwise_count(x) <= max_bits
+    return u[close], v[close]
+
+
+def _pairs(fps: np.ndarray, block: np.ndarray, off: np.ndarray, across: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each list, lists of one length together; ``across``: only pairs of its first with its second block."""
+    size = np.diff(off)
+    for n in np.unique(size[(size > 1) & ~across]).tolist():
+        i, j = np.triu_indices(n, 1)
+        lists = np.flatnonzero((size == n) & ~across)
+        step = max(PAIR_STEP // len(i), 1)
+        for lo in range(0, len(lists), step):
+            at = off[lists[lo : lo + step], None]
+            yield fps[at + i].ravel(), fps[at + j].ravel()
+    for k in np.flatnonzero(across):
+        own, first = fps[off[k] : off[k + 1]], block[off[k] : off[k + 1]]
+        one, two = own[first == first.min()], own[first != first.min()]
+        for lo in range(0, len(one), max(PAIR_STEP // max(len(two), 1), 1)):
+            part = one[lo : lo + max(PAIR_STEP // max(len(two), 1), 1)]
+            yield np.repeat(part, len(two)), np.tile(two, len(part))
 
 
 def _verify(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("fps")
-            off = flat.offsets.to_numpy()
-            values = flat.values.to_numpy().view(np.uint64)
-            u, v = [], []
-            for a, b in zip(off[:-1], off[1:], strict=True):
-                fps = values[a:b]
-                i, j = _list_links(fps, max_bits)
-                u.append(fps[i])
-                v.append(fps[j])
-            u = np.concatenate(u).view(np.int64) if u else np.zeros(0, np.int64)
-            v = np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            lists = batch.column("l")
+            off = lists.offsets.to_numpy()
+            fps, block = (lists.values.field(k).to_numpy() for k in range(2))
+            across = batch.column("i").to_numpy() != batch.column("j").to_numpy()
+            for u, v in _pairs(fps.view(np.uint64), block, off, across):
+                u, v = (w.view(np.int64) for w in _near(u, v, max_bits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return run
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(classes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (u < v) of fingerprints in ``classes`` (column fp, distinct) within max_bits."""
-    lists = classes.select("fp", _postings(F.col("fp"), max_bits).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    lists = lists.where(F.size("fps") > 1).select("fps")
-    return lists.mapInArrow(_verify(max_bits), "u long, v long").distinct()
+    posted = classes.select("fp", _postings(F.col("fp"), max_bits).alias("key"))
+    met = posted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    blocks = F.ceil(F.col("n") / block)
+    own = met.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    lists = sent.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("fp", "own")).alias("l"))
+    return lists.select("i", "j", "l").mapInArrow(_verify(max_bits), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -169,11 +169,28 @@ def test_links_in_short_and_long_lists(spark):
     want = {(int(a), int(b)) for k, a in enumerate(fps.tolist()) for b in fps[k + 1 :].tolist() if (a ^ b).bit_count() <= 2}
     df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
     unsigned = lambda v: v & (1 << 64) - 1
-    got = {tuple(sorted((unsigned(r.u), unsigned(r.v)))) for r in S.links(df).collect()}
+    for block in (S.BLOCK, 16):  # whole lists, and lists cut into blocks that meet each other
+        got = [tuple(sorted((unsigned(r.u), unsigned(r.v)))) for r in S.links(df, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 3, 5])
+def test_links_at_other_distances(spark, max_bits):
+    rng = np.random.default_rng(max_bits)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = {int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for x in base for _ in range(60)}
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= max_bits}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in fps], "fp long")
+    got = {tuple(sorted((r.u & (1 << 64) - 1, r.v & (1 << 64) - 1))) for r in S.links(df, max_bits).collect()}
     assert got == want
-    i, j = S._list_links(fps, 2)  # one long list: probed, not paired off
-    near = {(min(int(fps[a]), int(fps[b])), max(int(fps[a]), int(fps[b]))) for a, b in zip(i, j, strict=True)}
-    assert near == want
+
+
+def test_count_filter_rejects_pairs_of_a_list():
+    """Pairs that share a list's four bytes but not six fall by the tally; of those that pass it, some fall by their bits."""
+    one = np.array([0x1111111111111111] * 3, dtype=np.uint64)
+    two = np.array([0x1111111101010101, 0x11111111111111EE, 0x1111111111111112], dtype=np.uint64)
+    assert S._tally(one ^ two).tolist() == [4, 7, 7]
+    assert S._near(one, two, 2)[1].tolist() == [0x1111111111111112]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -189,8 +206,13 @@ def test_components_of_chains_and_stars(spark):
 # ------------------------------------------------------------- similar
 
 
+def shingles(text):
+    w = [x.lower() for x in words(text)]
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+
 def jaccard(a, b):
-    x, y = ({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := [x.lower() for x in words(t)]) else set() for t in (a, b))
+    x, y = shingles(a), shingles(b)
     return len(x & y) / max(len(x | y), 1)
 
 
@@ -336,12 +358,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small, word_bpe):
         return not (m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"] or 10 * m["n_symbols"] > m["n_words"] or 10 * m["n_bangs"] > m["n_words"] or 10 * m["n_dup_lines"] > 4 * m["n_lines"] or not 2 * m["n_words"] <= m["word_chars"] <= 12 * m["n_words"])
 
     rows = [r for r in rows if good(r[1])]
-    prints = {i: fingerprint(t) for i, t in rows}
-    root = roots(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    sets = {i: shingles(t) for i, t in rows}
+    root = roots(list(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     rows = [r for r in rows if root[r[0]] == r[0]]
     kept = {i: text for i, _, _, text in brute(rows, P.PASSAGE_WORDS)}
     t = Tokenizer.from_file(word_bpe)
-    t.encode_special_tokens = True
     want = []
     for i, _ in rows:
         ids = np.array([*t.encode(kept[i], add_special_tokens=False).ids, 0], dtype="<u4")
