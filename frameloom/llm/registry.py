@@ -53,8 +53,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import OWN, cascade
 
-    judged = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), names=names)
     out = judged.select("doc_id", *(F.col(OWN + k).alias(k) for k in names), F.col(OWN + "rejected_by").isNull().alias("kept"))
     return out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
 

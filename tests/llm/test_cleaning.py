@@ -57,6 +57,12 @@ def test_rule_query_equals_sql(spark, duck, small):
     assert_same(R.queries()["op4_rules"](spark, small).toPandas(), duck.execute(R.oracle_sql()["op4_rules"]).df())
 
 
+def test_the_filter_splits_once_and_holds_no_measure_twice(docs):
+    plan = Q.kept_only(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1 and plan.count("split(") == 2  # words, lines
+    assert plan.count("array_join(") == plan.count("sequence(") == 1
+
+
 def test_order_follows_rejection_per_cost(docs):
     order = Q.ordered(docs)
     assert {r.name for r in order} == {r.name for r in Q.RULES}
