@@ -20,9 +20,15 @@ def session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     return builder.config(map=settings | conf).getOrCreate()
 
 
+#: Rows of an Arrow batch where nothing else is set: rows are images, tiles or whole texts.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors' Python once per application, so that workers import it wherever they start."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_frameloom_shipped", False):
         return spark
     root = Path(__file__).resolve().parents[1]
