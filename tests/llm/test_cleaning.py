@@ -244,10 +244,30 @@ def test_near_copies_of_the_stage_are_those_of_the_rule(spark, odd, empty):
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} - {None} == set(want.values())
     assert len(set(want.values())) < 2 * len(text) / 3
+    split = Z.components(df, block=3)  # lists cut into small blocks that meet each other
+    assert {r.component for r in split.collect()} == set(want.values())
     assert len(Z.first_of_each(odd).where("doc_id IS NULL").collect()) == odd.where("doc_id IS NULL").count()
     assert Z.first_of_each(empty).count() == 0
 
 
+def test_a_cloud_of_near_copies_becomes_few_links():
+    """Copies of which many are under the threshold to each other: every pair is compared, few links come out."""
+    rng = random.Random(3)
+    base = list(range(150))
+    sets = []
+    for k in range(120):
+        x = list(base)
+        for at in rng.sample(range(150), 1 + k % 30):
+            x[at] = rng.randint(10_000, 99_999)
+        sets.append(np.unique(np.array(x, dtype=np.uint64)))
+    keys = np.arange(120)
+    u, v = Z.joining(keys, keys.copy(), np.zeros(120, int), False, sets, 0.8)
+    near = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+    assert all(near(a, b) for a, b in zip(u, v, strict=True)) and len(u) < 120
+    linked = {frozenset(e) for e in zip(u.tolist(), v.tolist(), strict=True)}
+    assert roots(keys.tolist(), near) == roots(keys.tolist(), lambda a, b: frozenset((a, b)) in linked)
+
+
 # ------------------------------------------------------------- multi-index
 
 
