@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +18,41 @@ STAR_NOISE = 0.0035
 LEAST_SAMPLES = 5
 
 
+def _sorted_by(block: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return values[np.lexsort((values, block))]
+
+
+def _block_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clipped median, share of bright samples and spread of each block's samples (column s), all blocks of a batch at once."""
+    for batch in batches:
+        lists = batch.column("s")
+        off = lists.offsets.to_numpy()
+        off, values = off - off[0], lists.flatten().to_numpy(zero_copy_only=False)
+        n = np.diff(off)
+        block, first = np.repeat(np.arange(len(n)), n), off[:-1]
+        ranked = _sorted_by(block, values)
+        med = ranked[first + n // 2]
+        mad = _sorted_by(block, np.abs(values - med[block]))[first + n // 2]
+        kept = np.add.reduceat((ranked <= (med + 3 * mad)[block]).astype(np.int64), first) if len(n) else n  # the least of a block
+        bg = np.where((mad <= 0) | (kept < n // 2), med, ranked[first + kept // 2])
+        spread = _sorted_by(block, np.abs(values - bg[block]))[first + n // 2]
+        over = np.add.reduceat((values > (bg + 4 * spread)[block]).astype(np.int64), first) if len(n) else n
+        keys = [k for k in batch.schema.names if k != "s"]
+        facts = [pa.array(bg), pa.array(over / n - STAR_NOISE), pa.array(spread), pa.array(n.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *facts], [*keys, "bg", "star", "noise", "n"])
+
+
 def block_background(samples: DataFrame, keys: list[str] = CELL, value: str = "v", gain: Column | float = 1.0) -> DataFrame:
     """One row per block: bg (clipped median), star (signed), noise, n.
 
-    A block holds a fixed number of pixels, so its values travel as one array and
-    the whole statistic is one exchange.
+    A block holds a fixed number of pixels, so its values travel as one array, the whole statistic is
+    one exchange, and its sorts are one kernel over many blocks.
     """
-    blocks = samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("s"))
-    away = lambda s, m: F.sort_array(F.transform(s, lambda x: F.abs(x - m)))
-    step = blocks.withColumn("med", array_upper_median(F.col("s")))
-    step = step.withColumn("mad", array_upper_median(away(F.col("s"), F.col("med"))))
-    step = step.withColumn("kept", F.filter("s", lambda x: x <= F.col("med") + 3 * F.col("mad")))
-    whole = (F.col("mad") <= 0) | (F.size("kept") < F.floor(F.size("s") / 2))
-    step = step.withColumn("bg", F.when(whole, F.col("med")).otherwise(array_upper_median(F.col("kept"))))
-    step = step.withColumn("spread", array_upper_median(away(F.col("s"), F.col("bg"))))
-    over = F.size(F.filter("s", lambda x: x > F.col("bg") + 4 * F.col("spread"))) / F.size("s")
+    kinds = dict(samples.dtypes)
+    blocks = samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("s"))
+    found = blocks.mapInArrow(_block_facts, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "bg double, star double, noise double, n int"]))
     g = col(gain)
-    return step.select(*keys, (F.col("bg") * g).alias("bg"), (over - STAR_NOISE).alias("star"), (F.col("spread") * g).alias("noise"), F.size("s").alias("n"))
+    return found.withColumns({"bg": F.col("bg") * g, "noise": F.col("noise") * g})
 
 
 def pixel_blocks(pixels: DataFrame, block: int, width: int, height: int) -> DataFrame:

@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of the bounded sample that the ranges of an order are cut by.
-RANGE_SAMPLE = 4000
+#: Sampled keys of a range, about: how even ranges are.
+SAMPLED = 20
 
 
 def ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Add the range (from 0) that a row belongs to: ranges follow the order and hold like numbers of rows."""
+    """Add the range (from 0) that a row belongs to: ranges follow the order and hold like numbers of rows.
+
+    There is a range for each shuffle partition, fewer where the sample has fewer different keys.  The
+    bounds are fixed before the plan, so every use of it deals a row alike; a row finds its range by
+    halving the bounds.
+    """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = df.count()
-    keys = df.select(*order)
-    found = [tuple(r) for r in keys.sample(False, min(1.0, RANGE_SAMPLE / max(n, 1)), 17).limit(2 * RANGE_SAMPLE).collect()]
-    found = sorted(set(k for k in found if None not in k))
-    cuts = [found[len(found) * k // width] for k in range(1, width)] if len(found) > width else []
+    n, most = df.count(), SAMPLED * width
+    keys = df.select(*order).dropna()
+    found = sorted({tuple(r) for r in keys.sample(False, min(1.0, most / max(n, 1)), 17).limit(2 * most).collect()})
+    cuts = sorted({found[len(found) * k // width] for k in range(1, width)}) if found else []
     if not cuts:
         return df.withColumn(name, F.lit(0))
     key = F.struct(*(F.col(c) for c in order))
     bounds = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(cut, order, strict=True))) for cut in cuts))
-    return df.withColumn(name, F.size(F.filter(bounds, lambda b: b <= key)))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    # the number of bounds that are not past the key
+    at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= len(cuts)) & (F.get(bounds, lo + step - 1) <= key), lo + step).otherwise(lo))
+    return df.withColumn(name, at)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
     """Position (from 0) of each row in the order.
 
-    Rows are dealt to ranges of the order, whose bounds come from a bounded sample;
-    each range numbers its own rows and starts after the sizes of those before it,
-    of which there is one number per range.  Rows that tie in the order must be
+    Rows are dealt to ranges of the order; each range numbers its own rows and starts after the sizes
+    of those before it, of which there is one number per range.  Rows that tie in the order must be
     equal in all that matters.
     """
     if by:

@@ -24,11 +24,42 @@ def test_numbering_and_blocks(spark):
     df = spark.createDataFrame(rows, "v long").repartition(7)
     assert O.numbered(df, ["v"], "at").where("v <> at").count() == 0
     assert O.numbered(df.limit(0), ["v"], "at").count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # more partitions than keys: still many ranges, in order
+        spark.conf.set("spark.sql.shuffle.partitions", "5000")
+        few = df.where("v < 600").coalesce(2)
+        parts = [r.part for r in sorted(O.ranges(few, ["v"], "part").collect())]
+        assert parts == sorted(parts) and len(set(parts)) == 600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     wide = W.trimmed_window_long(df.withColumn("x", F.col("v") * 1.0), "v", "x", F.lit(False), 7)
     assert wide.count() == 20000
     assert wide.where("v BETWEEN 3 AND 19996 AND abs(combined - x) > 1e-9").count() == 0
 
 
+def test_block_background_of_whole_blocks(spark):
+    """Blocks of 1,024 values, one of them flat, against the rule step by step; the plan holds no sort inside a lambda."""
+    rng = np.random.default_rng(8)
+    blocks = {0: rng.normal(50, 4, 1024), 1: np.full(1024, 7.0), 2: np.concatenate([rng.normal(10, 1, 700), rng.normal(90, 1, 324)]), 3: np.array([5.0]), 4: np.array([1.0, 9.0])}
+    rows = [(0, k, 0, float(v)) for k, b in blocks.items() for v in rng.permutation(b)] + [(0, 0, 0, None), (0, 9, 0, None)]
+    df = spark.createDataFrame(rows, "frame_idx int, gx int, gy int, v double").repartition(4)
+    maps = B.block_background(df)
+    got = {r.gx: r for r in maps.collect()}
+    assert set(got) == set(blocks)
+    mid = lambda v: np.sort(v)[len(v) // 2]
+    for k, b in blocks.items():
+        med = mid(b)
+        mad = mid(np.abs(b - med))
+        kept = b[b <= med + 3 * mad]
+        bg = med if mad <= 0 or len(kept) < len(b) // 2 else mid(kept)
+        spread = mid(np.abs(b - bg))
+        assert (got[k].bg, got[k].noise, got[k].n) == (bg, spread, len(b))
+        assert got[k].star == pytest.approx((b > bg + 4 * spread).mean() - B.STAR_NOISE)
+    assert B.block_background(df.limit(0)).count() == 0
+    plan = maps.where("bg > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("collect_list") == 1
+
+
 def test_transform_algebra(spark):
     m, k = (T.rotation(F.lit(a), F.lit(x), F.lit(y)) for a, x, y in ((0.3, 4.0, -2.0), (-1.1, 0.5, 7.0)))
     x, y = T.apply(T.compose(k, m), F.lit(2.0), F.lit(5.0))

@@ -128,8 +128,10 @@ def test_small_expressions(spark):
 
 
 def test_report_and_pictures(spark):
-    got = {r.line: r.warning for r in W.report(spark, [("a", "WARNING: few frames"), ("b", "all is well"), ("c", "3 skipped")]).collect()}
-    assert got == {"WARNING: few frames": True, "all is well": False, "3 skipped": True}
+    lines = {"  WARNING: few frames": True, "f1 LOAD FAILED": True, "f2 NOT ALIGNED": True, "2 frames of different dimensions": True, "1 implausible alignment": True}
+    lines |= {"all is well": False, "3 skipped": False, "drift not measurable": False, "warning in small letters": False}
+    got = {r.line: r.warning for r in W.report(spark, [(str(k), x) for k, x in enumerate(lines)]).collect()}
+    assert got == lines
     assert W.pgm(np.array([[0.0, 2.0]])) == b"P5\n2 1\n255\n\x00\xff"
     mask = np.zeros((16, 16), dtype=bool)
     mask[9, 1] = True
