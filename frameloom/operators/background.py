@@ -222,3 +222,34 @@ def bilinear(grid: DataFrame, at: DataFrame, fx: Column, fy: Column, width: int,
     joined = wide.join(grid.select(F.col("gx").alias("__gx"), F.col("gy").alias("__gy"), F.col(value).alias("__v")), (F.col("c.gx") == F.col("__gx")) & (F.col("c.gy") == F.col("__gy")))
     return joined.groupBy("__id", *at.columns).agg(F.sum(F.col("c.w") * F.col("__v")).alias(value)).drop("__id")
 
+
+def sky_weight(masks: DataFrame, at: DataFrame, fx: Column, fy: Column, width: int, height: int) -> DataFrame:
+    """Add weight: how much sky (1) or masked land (0) there is at fractional places of the grid."""
+    sky = masks.select("gx", "gy", F.when(F.coalesce("masked", F.lit(False)), 0.0).otherwise(1.0).alias("weight"))
+    return bilinear(sky, at, fx, fy, width, height, "weight")
+
+
+def cloud_masks(cells: DataFrame, width: int, height: int, least: int, grow: int, measured: Column | None = None) -> DataFrame:
+    """(frame_idx, gx, gy, masked): cloudy cells without regions under ``least`` cells, grown by ``grow``.
+
+    ``measured`` false (the session's stars don't clear the noise) masks nothing.  A frame's grid is one row.
+    """
+    from ..functions.kernels import dilate, drop_small
+    from .images import map_images
+
+    on = F.coalesce("cloud", F.lit(False)) & (measured if measured is not None else F.lit(True))
+    here = F.array_sort(F.collect_list(F.when(on, F.col("gy") * width + F.col("gx"))))
+    grids = cells.groupBy("frame_idx").agg(here.alias("on"))
+    flat = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: F.array_contains("on", k).cast("double"))
+    images = grids.select("frame_idx", F.lit(height).alias("h"), F.lit(width).alias("w"), flat.alias("data"))
+    made = map_images(images, lambda a, _: {"masked": dilate(drop_small(a > 0, least), grow)}, "masked array<boolean>")
+    out = made.select("frame_idx", F.posexplode("masked").alias("at", "masked"))
+    grown = out.select("frame_idx", (F.col("at") % width).cast("int").alias("gx"), F.floor(F.col("at") / width).cast("int").alias("gy"), "masked")
+    return cells.select("frame_idx", "gx", "gy").join(grown, ["frame_idx", "gx", "gy"])
+
+
+def radial_profile_pct(cells: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Median of each bin as a percentage of the innermost one's."""
+    profile = cells.groupBy(*by, "bin").agg(upper_median(value).alias("p"))
+    first = F.first("p").over(Window.partitionBy(*by).orderBy("bin"))
+    return profile.select(*by, "bin", (100 * F.col("p") / first).alias("pct"))

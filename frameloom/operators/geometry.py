@@ -283,16 +283,35 @@ def ransac(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, length_change:
     return (th, float(t[0]), float(t[1])), int(best.sum()), rms
 
 
-def align_frames(matches: DataFrame, least: int = 6) -> DataFrame:
-    """Robust transform per frame from matched stars (frame_idx, px, py, qx, qy): angle, tx, ty, inliers, rms, aligned."""
+ALIGNED = "angle double, tx double, ty double, inliers long, rms double, aligned boolean"
+
+
+def _align(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.float64()] * 3 + [pa.int64(), pa.float64(), pa.bool_()]
+        for batch in batches:
+            lists = batch.column("m")
+            off = lists.offsets.to_numpy()
+            places = np.stack([lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            rows = []
+            for lo, hi in zip(off[:-1], off[1:], strict=True):
+                got = ransac(places[lo:hi, :2], places[lo:hi, 2:])
+                (angle, tx, ty), n, rms = got if got else ((None, None, None), 0, None)
+                rows.append((angle, tx, ty, n, rms, n >= least))
+            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("frame_idx"), *cols], ["frame_idx", *(x.split()[0] for x in ALIGNED.split(", "))])
+
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["px", "py", "qx", "qy"])
-        got = ransac(pdf[["px", "py"]].to_numpy(float), pdf[["qx", "qy"]].to_numpy(float))
-        (angle, tx, ty), n, rms = got if got else ((None, None, None), 0, None)
-        return pd.DataFrame({"frame_idx": [pdf.frame_idx.iloc[0]], "angle": [angle], "tx": [tx], "ty": [ty], "inliers": [n], "rms": [rms], "aligned": [n >= least]})
 
-    return matches.groupBy("frame_idx").applyInPandas(run, "frame_idx long, angle double, tx double, ty double, inliers long, rms double, aligned boolean")
+def align_frames(matches: DataFrame, least: int = 6) -> DataFrame:
+    """Robust transform per frame from matched stars (frame_idx, px, py, qx, qy): angle, tx, ty, inliers, rms, aligned.
+
+    A frame's matches are a few dozen (its brightest stars) and travel as one array.
+    """
+    match = F.struct(*(F.col(c).cast("double").alias(c) for c in ("px", "py", "qx", "qy")))
+    lists = matches.groupBy(F.col("frame_idx").cast("long").alias("frame_idx")).agg(F.sort_array(F.collect_list(match)).alias("m"))
+    return lists.mapInArrow(_align(least), f"frame_idx long, {ALIGNED}")
 
 
 def chain(links: DataFrame, length: int) -> DataFrame:

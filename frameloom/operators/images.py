@@ -27,22 +27,39 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def _listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Flat arrays as one list column, by their buffers."""
+    off = np.concatenate([[0], np.cumsum([x.size for x in arrays])]).astype(np.int32)
+    flat = np.concatenate([x.ravel() for x in arrays]) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat).cast(kind.value_type))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    off, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> list[dict]:
+    """Rows whose lists are numpy views of the batch."""
+    if isinstance(batch, pa.Table):
+        batch = batch.combine_chunks().to_batches()[0] if batch.num_rows else pa.RecordBatch.from_pylist([], batch.schema)
+    cols = [_arrays(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+    return [dict(zip(batch.schema.names, r, strict=True)) for r in zip(*cols, strict=True)]
+
+
 def _run(kernel: Kernel, keep: list[str], made: list[str], channels: int, data: str, kinds: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(data)
-            off = column.offsets.to_numpy()
-            flat = column.values.to_numpy(zero_copy_only=False)
-            facts = batch.drop_columns([data]).to_pylist()
             rows = []
-            for k, row in enumerate(facts):
+            for row in _rows(batch):
                 shape = (row["h"], row["w"]) + ((channels,) if channels > 1 else ())
-                rows.append(kernel(flat[off[k] : off[k + 1]].reshape(shape), row))
+                rows.append(kernel(row.pop(data).reshape(shape), row))
             cols = [batch.column(k) for k in keep]
             for name in made:
-                cols.append(pa.array([np.asarray(r[name]).ravel().tolist() if np.ndim(r[name]) else r[name] for r in rows], kinds.field(name).type))
+                kind, values = kinds.field(name).type, [r[name] for r in rows]
+                cols.append(_listed([np.asarray(v) for v in values], kind) if pa.types.is_list(kind) else pa.array([v.item() if isinstance(v, np.generic) else v for v in values], kind))
             yield pa.RecordBatch.from_arrays(cols, [*keep, *made])
 
     return run
@@ -137,17 +154,18 @@ def stack_tiles(warped: DataFrame, by: list[str]) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 key = tuple(r[k] for k in [*by, "h", "w"])
-                data, cover = np.array(r["data"]), np.array(r["cover"], dtype=float)
+                data, cover = r["data"], r["cover"].astype(float)
                 if key in held:
                     held[key][0] += data * cover
                     held[key][1] += cover
                 else:
                     held[key] = [data * cover, cover.copy()]
         if held:
-            cols = [*zip(*held, strict=True), *([v[j].tolist() for v in held.values()] for j in (0, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, types, strict=True)], types.names)
+            cols = [pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), types, strict=False)]
+            cols += [_listed([v[j] for v in held.values()], types.field(n).type) for j, n in enumerate(("total", "cover"))]
+            yield pa.RecordBatch.from_arrays(cols, types.names)
 
     part = warped.mapInArrow(partial, schema)
     add = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
@@ -191,8 +209,21 @@ def normalise(pixels: DataFrame, stats: DataFrame, reference: dict[str, float],
     return out.withColumn("v", F.greatest((F.col("v") - F.col("level")) * F.col("gain") + reference["level"], F.lit(0.0)))
 
 
-def stretch(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """Per channel (in ``by``): median, mad, white (99.9 %) of positive finite samples; n."""
+#: Samples that a stretch looks at, about.
+STRETCH_SAMPLES = 1_000_000
+
+
+def stretch(pixels: DataFrame, by: list[str], place: Column | None = None, most: int = STRETCH_SAMPLES) -> DataFrame:
+    """Per channel (in ``by``): median, mad, white (99.9 %) of positive finite samples; n.
+
+    With ``place`` (a pixel's place in its channel), every k-th place is looked at, so that a channel
+    has about ``most`` samples however many frames there are.
+    """
+    from .catalog import every
+
+    if place is not None:
+        totals = pixels.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))  # a row per channel
+        pixels = pixels.join(F.broadcast(totals), by).where(every(place, F.col("__total"), most))
     ok = pixels.where((F.col("v") > 0) & ~F.isnan("v"))
     lists = ok.groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("s"))
     n = F.size("s")
@@ -256,17 +287,20 @@ def window_frames(images: DataFrame, size: int, channels: int = 3) -> DataFrame:
     half = half_window(size)
     sent = images.withColumn("target", F.explode(F.sequence(F.col("position") - half, F.col("position") + half)))
 
+    names = ["frame_idx", "h", "w", "data", "used"]
+
     def combine(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["position"])
+        rows = sorted(_rows(table), key=lambda r: r["position"])
         own = next((r for r in rows if r["position"] == r["target"]), None)
-        if own is None:
-            return pa.table({"frame_idx": pa.array([], pa.int64()), "h": pa.array([], pa.int32()), "w": pa.array([], pa.int32()), "data": pa.array([], pa.list_(pa.float64())), "used": pa.array([], pa.list_(pa.int64()))})
-        shape = (own["h"], own["w"], channels) if channels > 1 else (own["h"], own["w"])
-        frames = {r["position"]: np.array(r["data"], dtype=float).reshape(shape) for r in rows}
-        masks = {r["position"]: np.array(r["mask"], dtype=bool).reshape(shape[:2]) for r in rows}
-        transforms = {r["position"]: _relative(r, own) for r in rows}
-        out, used = combine_warped(frames, masks, transforms, own["position"])
-        return pa.table({"frame_idx": pa.array([own["frame_idx"]], pa.int64()), "h": pa.array([own["h"]], pa.int32()), "w": pa.array([own["w"]], pa.int32()), "data": pa.array([out.ravel().tolist()], pa.list_(pa.float64())), "used": pa.array([used.ravel().tolist()], pa.list_(pa.int64()))})
+        shape = (own["h"], own["w"], channels)[: 3 if channels > 1 else 2] if own else None
+        made = []
+        if own:
+            frames = {r["position"]: r["data"].astype(float).reshape(shape) for r in rows}
+            masks = {r["position"]: r["mask"].reshape(shape[:2]) for r in rows}
+            out, used = combine_warped(frames, masks, {r["position"]: _relative(r, own) for r in rows}, own["position"])
+            made = [(own["frame_idx"], own["h"], own["w"], out, used)]
+        ints = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        return pa.Table.from_arrays([*ints, _listed([m[3] for m in made], pa.list_(pa.float64())), _listed([m[4] for m in made], pa.list_(pa.int64()))], names)
 
     return sent.groupBy("target").applyInArrow(combine, "frame_idx long, h int, w int, data array<double>, used array<bigint>")
 

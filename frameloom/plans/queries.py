@@ -556,20 +556,28 @@ def warp_stack(spark, sf_dir):
     return rounded(rounded(out, "total", places=5), "v").select("session", "y", "x", "total", "cover", "v")
 
 
-NORMAL = f"""r AS (SELECT frame_idx, y, x, avg(v) OVER (PARTITION BY frame_idx) AS b, v FROM pixels),
-l AS (SELECT frame_idx, max(b) AS level, list_sort(list(v - b)) AS s FROM r GROUP BY frame_idx),
-st AS (SELECT frame_idx, level, CASE WHEN level >= 0 THEN level + greatest(s[least(CAST(floor(64 * 0.999) AS INT), 63) + 1], 0) ELSE 0 END AS high FROM l),
+#: Mosaics of 25 images, so that a blur reaches past its own image; a tenth of each is dark.
+NORMAL = f"""mz AS (SELECT frame_idx // 25 AS frame_idx, CAST(frame_idx % 25 // 5 * 8 + y AS INT) AS y, CAST(frame_idx % 5 * 8 + x AS INT) AS x, (v + 1) * CASE WHEN frame_idx % 5 = 4 AND x >= 4 THEN 0.02 ELSE 1 END AS v FROM pixels),
+nh AS (SELECT frame_idx, y, x, v, avg(v) OVER (PARTITION BY frame_idx, y ORDER BY x ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h FROM mz),
+lo AS (SELECT frame_idx, y, x, v, avg(h) OVER (PARTITION BY frame_idx, x ORDER BY y ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS b FROM nh),
+dk AS (SELECT frame_idx, 0.6 * {MED.format('b')} AS dark FROM lo GROUP BY frame_idx),
+l AS (SELECT frame_idx, list_sort(list(b)) AS s, list_sort(list(v - b)) AS f FROM lo JOIN dk USING (frame_idx) WHERE b >= dark GROUP BY frame_idx),
+k AS (SELECT frame_idx, s[least(CAST(floor(len(s) * CAST(0.2 AS DOUBLE)) AS INT), len(s) - 1) + 1] AS level, f[least(CAST(floor(len(f) * CAST(0.999 AS DOUBLE)) AS INT), len(f) - 1) + 1] AS top FROM l),
+st AS (SELECT frame_idx, level, level + greatest(top, 0) AS high FROM k),
 rf AS (SELECT {MED.format('level')} AS level, {MED.format('high')} AS high FROM st)"""
 
 
 @query("pixels", f"""{NORMAL} SELECT p.frame_idx, p.y, p.x, round(greatest((p.v - st.level) * greatest(least((rf.high - rf.level) / greatest(st.high - st.level, 1e-6), 4.0), 0.25) + rf.level, 0), 5) AS v
-FROM pixels p JOIN st USING (frame_idx) CROSS JOIN rf""")
+FROM mz p JOIN st USING (frame_idx) CROSS JOIN rf""")
 def level_normalise(spark, sf_dir):
-    images = V.images(spark, sf_dir)
+    k, x, y = F.col("frame_idx"), F.col("x"), F.col("y")
+    dark = F.when((k % 5 == 4) & (x >= 4), 0.02).otherwise(1.0)
+    wide = V.pixels(spark, sf_dir).select(F.floor(k / 25).alias("frame_idx"), (F.floor(k % 25 / 5) * 8 + y).cast("int").alias("y"), (k % 5 * 8 + x).cast("int").alias("x"), ((F.col("v") + 1) * dark).alias("v"))
+    rows = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    images = wide.groupBy("frame_idx").agg(rows.alias("p")).select("frame_idx", F.lit(40).alias("h"), F.lit(40).alias("w"), F.col("p.v").alias("data"))
     stats = I.level_stats(images)
-    ref = stats.agg(C.upper_median("level").alias("level"), C.upper_median("high").alias("high")).first()
-    out = I.normalise(V.pixels(spark, sf_dir), stats, {"level": ref.level, "high": ref.high})
-    return rounded(out, "v", places=5).select("frame_idx", "y", "x", "v")
+    ref = stats.agg(C.upper_median("level").alias("level"), C.upper_median("high").alias("high")).first()  # one row
+    return rounded(I.normalise(wide, stats, {"level": ref.level, "high": ref.high}), "v", places=5).select("frame_idx", "y", "x", "v")
 
 
 STRETCH = f"""o AS (SELECT session, v FROM pixels WHERE v > 0), m AS (SELECT session, {MED.format('v')} AS med, list_sort(list(v)) AS s FROM o GROUP BY session),
@@ -582,7 +590,7 @@ b AS (SELECT session, med, white, greatest(med - span * (white - med), 0) AS bla
 @query("pixels", f"""{STRETCH} SELECT frame_idx, y, x, CAST(floor(greatest(least((v - black) * 65535.0 / greatest(white - black, 1e-6), 65535), 0) + 0.5) AS INT) AS q FROM pixels JOIN b USING (session)""")
 def stretch_quantise(spark, sf_dir):
     p = V.pixels(spark, sf_dir)
-    levels = I.shared_blacks(I.stretch(p, ["session"]), [])  # a row per channel
+    levels = I.shared_blacks(I.stretch(p, ["session"], F.col("frame_idx") * 64 + F.col("y") * 8 + F.col("x")), [])  # a row per channel
     out = p.join(F.broadcast(levels), "session")
     return out.select("frame_idx", "y", "x", C.quantise(F.col("v"), F.col("black"), F.col("white")).alias("q"))
 
@@ -591,15 +599,19 @@ def stretch_quantise(spark, sf_dir):
     "pixels",
     """r AS (SELECT y, x, v FROM pixels WHERE frame_idx = 0), s AS (SELECT i - 2 AS dx, j - 2 AS dy FROM range(5) a(i) CROSS JOIN range(5) b(j)),
 c AS (SELECT p.frame_idx, dx, dy, sum(r.v * p.v) / sqrt(sum(r.v * r.v) * sum(p.v * p.v)) AS ncc FROM r CROSS JOIN s JOIN pixels p ON p.x = r.x + dx AND p.y = r.y + dy GROUP BY ALL),
-t AS (SELECT frame_idx, dx, dy, ncc FROM c QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY ncc DESC, dy DESC, dx DESC) = 1)
-SELECT frame_idx, round(ncc, 6) AS ncc FROM t""",
+t AS (SELECT frame_idx, dx, dy, ncc FROM c QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY ncc DESC, dy DESC, dx DESC) = 1),
+e AS (SELECT t.*, max(CASE WHEN c.dx = t.dx - 1 AND c.dy = t.dy THEN c.ncc END) AS xl, max(CASE WHEN c.dx = t.dx + 1 AND c.dy = t.dy THEN c.ncc END) AS xr,
+  max(CASE WHEN c.dy = t.dy - 1 AND c.dx = t.dx THEN c.ncc END) AS yl, max(CASE WHEN c.dy = t.dy + 1 AND c.dx = t.dx THEN c.ncc END) AS yr FROM t JOIN c USING (frame_idx) GROUP BY ALL)
+SELECT frame_idx, round(ncc, 6) AS ncc,
+  round(dx + CASE WHEN xl IS NULL OR xr IS NULL OR abs(2 * ncc - xl - xr) < 5e-13 THEN 0 ELSE greatest(least((xr - xl) / (2 * (2 * ncc - xl - xr)), 1), -1) END, 5) + 0.0 AS dx,
+  round(dy + CASE WHEN yl IS NULL OR yr IS NULL OR abs(2 * ncc - yl - yr) < 5e-13 THEN 0 ELSE greatest(least((yr - yl) / (2 * (2 * ncc - yl - yr)), 1), -1) END, 5) + 0.0 AS dy FROM e""",
 )
 def ncc_shift(spark, sf_dir):
     images = V.images(spark, sf_dir)
     first = images.where("frame_idx = 0").first()
     reference = np.array(first.data).reshape(8, 8)  # the session's one reference frame
 
-    return rounded(I.ncc_shift(images, reference, 2), "ncc").select("frame_idx", "ncc")
+    return rounded(rounded(I.ncc_shift(images, reference, 2), "ncc"), "dx", "dy", places=5).select("frame_idx", "ncc", "dx", "dy")
 
 
 
