@@ -11,7 +11,9 @@ then only those documents' frames, and verifies their checksums.
 Writing: texts are encoded where they are read and only compressed frames move:
 one exchange by document id ranges, one file per range.  The bounds of the ranges
 come from a sample of the id column, a bounded number of ids per file; they decide
-which file a document goes to, never whether.  Files get a fresh name per attempt and only names
+which file a document goes to, never whether.  An id that many rows share (or the
+null id) is met by several bounds; its rows are spread over the files between them
+by their checksum, which is also their order.  Files get a fresh name per attempt and only names
 returned by successful tasks enter the manifest, so a task that runs twice leaves
 at most an unread file.  Paths may be of any file system that pyarrow opens.
 
@@ -33,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, written
 from .textkit import pack, steps, unpack
 from .wordcodec import codec
 
@@ -52,6 +54,9 @@ CHECKSUMS = 0x80
 FILE_DOCS, SAMPLED_IDS = 20_000, 20
 LEVEL = 3
 
+#: Stands for a null id, which comes before all others.
+NO_ID = -(1 << 63)
+
 FRAMES = "part int, id long, n long, crc long, xxh long, raw long, frame binary"
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 READ = "id long, start long, n_tokens long, ids_crc32 long, path string"
@@ -61,6 +66,12 @@ def frame_of(ids: bytes, packer: zstandard.ZstdCompressor) -> tuple[bytes, int]:
     return packer.compress(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF
 
 
+def parts_of(cuts: np.ndarray, ids: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """File of each document.  An id that several cuts name is spread over all the files that meet there, by its checksum."""
+    low, high = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+    return low + (crc * (high - low + 1) >> 32)
+
+
 def _encode(path: str, end_id: int, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = codec(path), zstandard.ZstdCompressor(level=LEVEL)
@@ -74,10 +85,10 @@ def _encode(path: str, end_id: int, cuts: np.ndarray):
                 docs = [bytes(raw[a:b]) for a, b in zip((ends - size * 4).tolist(), ends.tolist(), strict=True)]
                 frames = [frame_of(x, packer) for x in docs]
                 ids = step.column("id")
-                part = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-                part = np.where(ids.is_valid().to_numpy(zero_copy_only=False), part, 0)
+                crc = np.array([zlib.crc32(x) for x in docs], dtype=np.int64)
+                part = parts_of(cuts, np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.maximum(ids.fill_null(0).to_numpy(zero_copy_only=False), NO_ID + 1), NO_ID), crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), ids, pa.array(size), pa.array([zlib.crc32(x) for x in docs], pa.int64()), pa.array([x for _, x in frames], pa.int64()), pa.array([len(x) for x in docs], pa.int64()), pa.array([x for x, _ in frames], pa.binary())],
+                    [pa.array(part, pa.int32()), ids, pa.array(size), pa.array(crc), pa.array([x for _, x in frames], pa.int64()), pa.array([len(x) for x in docs], pa.int64()), pa.array([x for x, _ in frames], pa.binary())],
                     ["part", "id", "n", "crc", "xxh", "raw", "frame"],
                 )
 
@@ -144,16 +155,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     n = slim.count()
     width = max(n // FILE_DOCS + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 200 + 1))
-    ids = slim.select("id").where("id IS NOT NULL").sample(False, min(1.0, SAMPLED_IDS * width / max(n, 1)), 29).limit(2 * SAMPLED_IDS * width)
+    ids = slim.select(F.coalesce("id", F.lit(NO_ID)).alias("id")).sample(False, min(1.0, SAMPLED_IDS * width / max(n, 1)), 29).limit(2 * SAMPLED_IDS * width)
     found = np.sort(np.array([r.id for r in ids.collect()], dtype=np.int64))
     cuts = found[len(found) * np.arange(1, width) // width] if len(found) else found
     frames = slim.mapInArrow(_encode(tokenizer, end_id, cuts), FRAMES)
     order = [F.col("id").asc_nulls_first(), F.col("crc"), F.col("raw")]
     ranged = frames.repartitionById(int(width), "part").sortWithinPartitions(*order)
-    rows = sorted(ranged.mapInArrow(_write(folder), MANIFEST).collect(), key=lambda r: r.part)  # one row per file
-    before = np.concatenate([[0], np.cumsum([r.n_ids for r in rows])]).tolist()
-    made = [(r.part, r.path, r.n_docs, r.n_ids, before[k]) for k, r in enumerate(rows)]
-    return spark.createDataFrame(made, MANIFEST + ", first_id long")
+    made = written(ranged.mapInArrow(_write(folder), MANIFEST), "manifest")  # one row per file
+    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return made.withColumn("first_id", F.coalesce(before, F.lit(0)))
 
 
 def _make(folder: str) -> None:

@@ -143,6 +143,24 @@ def test_token_files(odd, empty, word_bpe, tmp_path):
     assert T.read_tokens(T.write_tokens(empty, word_bpe)).count() == 0
 
 
+def test_a_hot_id_is_spread_over_files_in_order(spark, word_bpe, tmp_path):
+    texts = [f"word {k} of {k % 7}" for k in range(3000)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = T.write_tokens(df, word_bpe, folder=f"file://{tmp_path}/t")
+    assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 1500
+    encode = library(word_bpe)
+    want, start = [], 0
+    sized = [(i, zlib.crc32(np.array([*encode(t), 2], "<u4").tobytes()), len(encode(t)) + 1) for i, t in rows]
+    for i, crc, n in sorted(sized, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want.append((i, start, n, crc))
+        start += n
+    got = sorted((tuple(r)[:4] for r in T.read_tokens(manifest).collect()), key=lambda r: r[1])
+    assert got == want
+    parts = T.parts_of(np.array([5, 7, 7, 7, 9]), np.array([5, 6, 7, 7, 8, T.NO_ID]), np.array([1, 1, 0, (1 << 32) - 1, 5, 9]))
+    assert parts.tolist() == [0, 1, 1, 4, 4, 0]
+
+
 def test_a_reader_takes_single_documents_and_any_tool_the_whole_file(docs, word_bpe, tmp_path):
     manifest = T.write_tokens(docs, word_bpe, folder=f"file://{tmp_path}/t").collect()
     path = manifest[0].path
