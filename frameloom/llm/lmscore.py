@@ -48,6 +48,9 @@ from .textkit import pack, steps, texts_of, unpack, word_hashes, words_of
 STATES = 8
 CLASSES = 4096
 ROUNDS = 3
+
+#: Count tables that one task adds up.
+FAN_IN = 16
 SEGMENT = 128
 
 #: Words of up to this many bytes have a hashed class, longer ones that of their last three bytes.
@@ -213,8 +216,12 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(parts: DataFrame) -> np.ndarray | None:
-    """Sum of the count tables of all partitions, in two levels; what arrives here is a few tables."""
-    rows = parts.repartition(4).mapInArrow(_add_up, "counts binary").collect()
+    """Sum of the count tables of all partitions, by a tree: a task adds up FAN_IN tables at most, and FAN_IN tables arrive here."""
+    width = parts.rdd.getNumPartitions()
+    while width > FAN_IN:
+        width = -(-width // FAN_IN)
+        parts = parts.repartition(width).mapInArrow(_add_up, "counts binary")
+    rows = parts.collect()
     return sum(unpack(r.counts, "<f8") for r in rows) if rows else None
 
 
