@@ -45,8 +45,12 @@ TARGET_RECALL = 0.97
 MAX_CENTROIDS = 256
 BLOCK_ENTRIES = 4_000
 BUCKET_ENTRIES = 16_000
+
+#: Queries that one task answers from one bucket, about.
+QUERY_GROUP = 20_000
+
 ENTRIES = "vec binary, ids array<long>, cell int, block int, bucket int"
-ROUTED = "bucket int, vec binary, cells binary"
+ROUTED = "bucket int, group int, vec binary, cells binary"
 FOUND = "query binary, vec_id long, score double"
 
 
@@ -198,8 +202,8 @@ def _bucket(cell: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def _route(index: Index, counts: np.ndarray, blocks: np.ndarray, n_buckets: int):
-    wanted = index.share * counts.sum()
+def _route(index: Index, counts: np.ndarray, blocks: np.ndarray, n_buckets: int, share: float):
+    wanted = share * counts.sum()
     quick = counts.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +212,8 @@ def _route(index: Index, counts: np.ndarray, blocks: np.ndarray, n_buckets: int)
                 continue
             vecs = batch.column("vec").to_pylist()
             left, right = index.split(unit(matrix(vecs)))
-            to, who, cells = [], [], []
-            for v, a, b in zip(vecs, left, right, strict=True):
+            to, of, who, cells = [], [], [], []
+            for v, g, a, b in zip(vecs, batch.column("group").to_pylist(), left, right, strict=True):
                 met = np.array(walk(a, b, quick, wanted), dtype=np.int64)
                 each = np.repeat(met, blocks[met])
                 block = np.arange(len(each)) - np.repeat(np.cumsum(blocks[met]) - blocks[met], blocks[met])
@@ -220,7 +224,8 @@ def _route(index: Index, counts: np.ndarray, blocks: np.ndarray, n_buckets: int)
                     to.append(q)
                     who.append(v)
                     cells.append(np.unique(part).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(who, pa.binary()), pa.array(cells, pa.binary())], ["bucket", "vec", "cells"])
+                    of.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(of, pa.int32()), pa.array(who, pa.binary()), pa.array(cells, pa.binary())], ["bucket", "group", "vec", "cells"])
 
     return run
 
@@ -291,8 +296,12 @@ def _rerank(most: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", most: int = NEIGHBOURS) -> DataFrame:
-    """For each row with ``is_query``: query_id, rank (from 1), vec_id, score of its nearest other rows."""
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", most: int = NEIGHBOURS, share: float | None = None, group: int = QUERY_GROUP) -> DataFrame:
+    """For each row with ``is_query``: query_id, rank (from 1), vec_id, score of its nearest other rows.
+
+    ``share`` is the share of entries that a query visits: by default what the sample calls for; 1.0
+    visits every cell, so the neighbours are exact.
+    """
     spark = vectors.sparkSession
     entries = written(entries_of(vectors, id_col, vec_col, most + 1), "entries")
     n = entries.count()
@@ -311,8 +320,12 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     dealt = keyed.mapInArrow(_assign(index, blocks, n_buckets), ENTRIES)
     asking = entries_of(vectors.where(is_query), id_col, vec_col, 1).select("vec")
     asking = asking.join(entries.select("vec"), "vec", "left_semi").repartition(min(n // 200 + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    routed = asking.mapInArrow(_route(index, counts, blocks, n_buckets), ROUTED)
-    found = dealt.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInArrow(_rerank(most + 1), FOUND)
+    # a task holds one bucket of entries and one group of queries, neither of which grows with the table
+    groups = int(asking.count() // group + 1)
+    asking = asking.withColumn("group", F.pmod(F.xxhash64("vec"), F.lit(groups)).cast("int"))
+    routed = asking.mapInArrow(_route(index, counts, blocks, n_buckets, index.share if share is None else share), ROUTED)
+    dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = dealt.groupBy("bucket", "group").cogroup(routed.groupBy("bucket", "group")).applyInArrow(_rerank(most + 1), FOUND)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most + 1)
     lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))

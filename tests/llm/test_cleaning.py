@@ -301,6 +301,19 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(450, 1, 452)]
 
 
+def test_every_cell_visited_gives_the_exact_neighbours(spark, small):
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet")
+    v = vectors.toPandas()
+    x, ids = np.array(v.embedding.tolist(), dtype=float), v.vec_id.to_numpy()
+    got = {}
+    for r in N.nearest(vectors, F.col("vec_id") % 50 == 0, share=1.0, group=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for k in np.flatnonzero(ids % 50 == 0):
+        s = N.cosine(np.broadcast_to(x[k], x.shape), x)
+        s[k] = -9
+        assert got[ids[k]] == ids[np.lexsort((ids, -s))[:5]].tolist()
+
+
 def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(0)
     left, right, counts = rng.random(6), rng.random(5), rng.integers(0, 4, 30)
