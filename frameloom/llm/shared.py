@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             found = f"file://{found}"
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+            if found.startswith("file:"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local one")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
