@@ -67,6 +67,20 @@ def box_mean(a: np.ndarray, r: int) -> np.ndarray:
         return np.where(n > 0, window_sum(np.where(ok, a, 0.0), r) / n, np.nan)
 
 
+def block_maps(a: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Clipped median, share of bright samples over the noise's own, and spread of each whole block of an image."""
+    h, w = a.shape[0] // block, a.shape[1] // block
+    n = block * block
+    s = np.sort(a[: h * block, : w * block].reshape(h, block, w, block).swapaxes(1, 2).reshape(h, w, n), axis=2)
+    mid = lambda v: np.sort(v, axis=2)[..., n // 2]
+    med = s[..., n // 2]
+    mad = mid(np.abs(s - med[..., None]))
+    kept = (s <= (med + 3 * mad)[..., None]).sum(axis=2)
+    bg = np.where((mad <= 0) | (kept < n // 2), med, np.take_along_axis(s, (kept // 2)[..., None], axis=2)[..., 0])
+    spread = mid(np.abs(s - bg[..., None]))
+    return bg, (s > (bg + 4 * spread)[..., None]).mean(axis=2) - 0.0035, spread
+
+
 # ------------------------------------------------------------------ regions
 
 

@@ -165,6 +165,18 @@ def recovered(frames: pd.DataFrame, w: float, h: float, limit: float = IMPLAUSIB
     return f
 
 
+def recovered_sessions(catalog: DataFrame, by: list[str], w: float, h: float, limit: float = IMPLAUSIBLE_PX, reach: int = REACH) -> DataFrame:
+    """The same for every session (``by``) of a table; sessions are independent, a session's catalog is one small group."""
+    kinds = dict(catalog.dtypes)
+    names = [*by, "frame_idx", "aligned", "angle", "tx", "ty"]
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "source string"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return recovered(pdf, w, h, limit, reach)[[*names, "source"]]
+
+    return catalog.select(*names).groupBy(*by).applyInPandas(one, schema)
+
+
 # ------------------------------------------------------------- star matching
 
 
@@ -210,15 +222,20 @@ def triangles(stars: DataFrame) -> DataFrame:
 
 
 def triangle_votes(tri: DataFrame, step: int = 1, band: float = BAND) -> DataFrame:
-    """(frame_idx, ref_star, cur_star, votes) between each frame and the one ``step`` later.
+    """(frame_idx, ref_star, cur_star, votes) between each frame and the one ``step`` later."""
+    return votes_between(tri, tri.withColumn("frame_idx", F.col("frame_idx") - step), band)
+
+
+def votes_between(reference: DataFrame, tri: DataFrame, band: float = BAND) -> DataFrame:
+    """(frame_idx, ref_star, cur_star, votes) of two tables of triangles, frame by frame.
 
     The band on both ratios becomes an equality of buckets twice as wide (a value and its band meet
     at most two of them each way, so one side has four copies at most) and an exact test.
     """
     bucket = lambda v, by=0.0: F.floor((F.col(v) + by) / (2 * band))
-    left = tri.select("frame_idx", "a", "b", "c", "inv0", "inv1", bucket("inv0").alias("k0"), bucket("inv1").alias("k1"))
+    left = reference.select("frame_idx", "a", "b", "c", "inv0", "inv1", bucket("inv0").alias("k0"), bucket("inv1").alias("k1"))
     reach = lambda v: F.explode(F.array_distinct(F.array(bucket(v, -band), bucket(v, band))))
-    right = tri.select((F.col("frame_idx") - step).alias("frame_idx"), *(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "inv0", "inv1")), reach("inv0").alias("k0"))
+    right = tri.select("frame_idx", *(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "inv0", "inv1")), reach("inv0").alias("k0"))
     right = right.select("*", F.explode(F.array_distinct(F.array(bucket("inv12", -band), bucket("inv12", band)))).alias("k1"))
     # the estimate of an exploded side's size is that of its source, so it must not pick a broadcast
     hits = left.join(right.hint("merge"), ["frame_idx", "k0", "k1"]).where((F.abs(F.col("inv0") - F.col("inv02")) < band) & (F.abs(F.col("inv1") - F.col("inv12")) < band))

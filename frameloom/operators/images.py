@@ -352,3 +352,35 @@ def removed_layer(grid: np.ndarray, pedestal: float, x0: int, y0: int, w: int, h
 
     y, x = np.mgrid[y0 : y0 + h, x0 : x0 + w].astype(float)
     return np.maximum(Surface(grid, float(step)).at(x, y) + pedestal, 0.0)
+
+
+def keep_occlusions(images: DataFrame) -> DataFrame:
+    """Combined images (data) blended with the frame's own (current) where it hides stars; fg: masked pixels, optional."""
+    return map_images(_with_mask(images), lambda a, r: dict(zip(("data", "share"), K.keep_occlusions(r["current"].reshape(a.shape), a, r["fg"].reshape(a.shape[:2]).astype(bool)), strict=True)), "data array<double>, share double", ("frame_idx", "h", "w"), channels=3)
+
+
+def keep_transients(images: DataFrame) -> DataFrame:
+    """Combined images (data, used) with the frame's own pixels (current) where it shows something long and thin."""
+
+    def kernel(a, r):
+        own = r["current"].reshape(a.shape)
+        trail = K.transient_mask(own, a, r["fg"].reshape(a.shape[:2]).astype(bool), r["used"].reshape(a.shape[:2]) if r.get("used") is not None else None)
+        return {"data": np.where(trail[..., None], own, a), "kept": int(trail.sum())}
+
+    return map_images(_with_mask(images), kernel, "data array<double>, kept bigint", ("frame_idx", "h", "w"), channels=3)
+
+
+def drift(images: DataFrame, reference: np.ndarray, cells: np.ndarray, block: int, search: int) -> DataFrame:
+    """(frame_idx, dx, dy, ncc) of each luminance against the reference's on the masked cells, in two scales; null if not measurable.
+
+    The reference is one image, sent with the kernel.
+    """
+
+    def kernel(a, _):
+        return dict(zip(("dx", "dy", "ncc"), K.drift(reference, a, cells, block, search) or (None,) * 3, strict=True))
+
+    return map_images(images, kernel, "dx double, dy double, ncc double")
+
+
+def _with_mask(images: DataFrame) -> DataFrame:
+    return images if "fg" in images.columns else images.withColumn("fg", F.array_repeat(F.lit(False), (F.col("h") * F.col("w")).cast("int")))
