@@ -100,6 +100,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import rules
+    from . import rules, substrings
 
-    return {"op4_rules": rules.QUERY_SQL}
+    return {"op4_rules": rules.QUERY_SQL, "op5_substrings": substrings.QUERY_SQL}

@@ -300,3 +300,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lost = _lost_windows(chunks, window, period)
     schema = docs.select(*(F.col(f"`{c}`") for c in docs.columns)).schema
     return chunks.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_strip_in_place(window, period, text_col, docs.columns), schema)
+
+
+QUERY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), tokens AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), runs AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER p AS run, count(*) OVER p AS n FROM tokens
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), firsts AS (
+  SELECT run, min(doc_id) AS first FROM runs WHERE n = 13 GROUP BY run
+), gone AS (
+  SELECT DISTINCT r.doc_id, r.i + k AS i FROM runs r JOIN firsts f ON f.run = r.run AND f.first < r.doc_id, range(13) s(k) WHERE r.n = 13
+), kept AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS text, count(*) AS n FROM tokens t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id
+)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, len(w.words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""

@@ -410,6 +410,10 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small, word_bpe):
     assert sorted(tuple(r)[:5] for r in got) == sorted(want)
 
 
+def test_digest_query_equals_sql(spark, duck, small):
+    assert_same(R.queries()["op5_substrings"](spark, small).toPandas(), duck.execute(R.oracle_sql()["op5_substrings"]).df())
+
+
 def test_digest_query(spark, small):
     rows = sorted(pairs(spark.read.parquet(f"{small}/documents.parquet")))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in R.queries()["op5_substrings"](spark, small).collect()}
