@@ -410,6 +410,20 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small, word_bpe):
     assert sorted(tuple(r)[:5] for r in got) == sorted(want)
 
 
+def test_stages_of_odd_and_empty_tables(spark, small, odd, empty, tmp_path):
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES:
+        for docs in (odd, empty):
+            got = stage(spark, docs, small)
+            if name != "best_fit_packing":
+                assert got.columns == docs.columns, name
+            assert (got.count() > 0) == (docs is odd), name
+    spark.read.parquet(f"{small}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.quality_classifier(spark, odd, f"file://{tmp_path}").count() == odd.count()
+
+
 def test_digest_query_equals_sql(spark, duck, small):
     assert_same(R.queries()["op5_substrings"](spark, small).toPandas(), duck.execute(R.oracle_sql()["op5_substrings"]).df())
 
