@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +25,24 @@ def robust_slope(cells: DataFrame, by: list[str], x: str, y: str, least: int = L
     """Slope of y over x per group: three least-squares passes, each on what the last kept.
 
     Rows with x <= 0 or a null take no part; fewer than ``least`` rows or a flat x give null, and
-    so does a slope that isn't positive.  Windows over one key: a single exchange for all passes.
+    so does a slope that isn't positive.  Where x becomes flat in a later pass, the slope so far stays.  One exchange; a group (a value per frame) is one array,
+    sorted once, and its medians are partitions in a kernel.
     """
-    w = Window.partitionBy(*by)
-    out = cells.where((F.col(x) > 0) & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).withColumn("__w", F.lit(True))
-    for k in range(PASSES):
-        px, py = F.when(F.col("__w"), F.col("__x")), F.when(F.col("__w"), F.col("__y"))
-        out = out.withColumn("__mx", F.avg(px).over(w)).withColumn("__my", F.avg(py).over(w))
-        dx, dy = F.when(F.col("__w"), F.col("__x") - F.col("__mx")), F.col("__y") - F.col("__my")
-        out = out.withColumn("__sxx", F.sum(dx * dx).over(w)).withColumn("__sxy", F.sum(dx * dy).over(w))
-        out = out.withColumn("__b", F.when(F.col("__sxx") > 1e-12, F.col("__sxy") / F.col("__sxx")))
-        if k + 1 < PASSES:
-            out = out.withColumn("__r", F.abs(F.col("__y") - (F.col("__my") + F.col("__b") * (F.col("__x") - F.col("__mx")))))
-            ranked = F.sort_array(F.collect_list("__r").over(w))  # a group has a value per frame
-            mad = F.greatest(F.get(ranked, F.floor(F.size(ranked) / 2).cast("int")), F.lit(1e-9))
-            out = out.withColumn("__w", F.col("__r") <= BAND * mad)
-    found = out.groupBy(*by).agg(F.first("__b").alias("slope"), F.count(F.lit(1)).alias("n"))
-    return found.withColumn("slope", F.when((F.col("n") >= least) & (F.col("slope") > 0), F.col("slope")))
+    pair = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    groups = cells.where((F.col(x) > 0) & F.col(y).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(pair)).alias("p"))
+    kinds, kept = dict(cells.dtypes), list(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = batch.column("x"), batch.column("y")
+            at, xv, yv = xs.offsets.to_numpy(), xs.values.to_numpy(zero_copy_only=False), ys.values.to_numpy(zero_copy_only=False)
+            ends = list(zip(at[:-1], at[1:], strict=True))
+            found = [_slopes(xv[a:b], yv[a:b, None], least)[0] for a, b in ends]
+            columns = [pa.array([None if np.isnan(s) else s for s in found], pa.float64()), pa.array([b - a for a, b in ends], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *columns], [*kept, "slope", "n"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "slope double", "n bigint"])
+    return groups.select(*by, F.col("p.x").alias("x"), F.col("p.y").alias("y")).mapInArrow(run, schema)
 
 
 def relative_field(slopes: DataFrame, cells: int) -> DataFrame:
@@ -154,30 +157,35 @@ def fit_flat_field(maps: pd.DataFrame, gw: int, gh: int) -> FlatField:
     levels = maps.groupby("frame_idx")["level"].first()
     positive = levels[levels > 0]
     ratio = float(positive.max() / max(positive.min(), 1e-9)) if len(positive) > 1 else 1.0
-    none = FlatField(np.ones((3, gh, gw)), np.zeros(3), ratio, 0.0, float("inf"), False)
     if len(frames) < 2 * LEAST_SAMPLES or ratio < LEAST_LEVER:
-        return none
+        return _no_field(ratio, gw, gh)
     at = {f: k for k, f in enumerate(frames)}
     k = maps.frame_idx.map(at).to_numpy()
     cube = np.full((3, len(frames), gh, gw), np.nan)
     for c, name in enumerate("rgb"):
         cube[c, k, maps.gy.to_numpy(), maps.gx.to_numpy()] = maps[name].to_numpy(float)
     x = levels.loc[frames].to_numpy(float)
+    parts = (slice(None), slice(0, None, 2), slice(1, None, 2))
+    slopes = np.stack([[_slopes(x[p], cube[c, p].reshape(len(x[p]), -1)).reshape(gh, gw) for c in range(3)] for p in parts])
+    level = np.array([median_of([median_of(f[np.isfinite(f)]) for f in cube[c] if np.isfinite(f).any()]) for c in range(3)])
+    return _judged(slopes, level, ratio)
+
+
+def _no_field(ratio: float, gw: int, gh: int) -> FlatField:
+    return FlatField(np.ones((3, gh, gw)), np.zeros(3), ratio, 0.0, float("inf"), False)
 
-    def field(which: slice) -> np.ndarray:
-        out = []
-        for c in range(3):
-            s = _slopes(x[which], cube[c, which].reshape(len(x[which]), -1)).reshape(gh, gw)
-            known = s[np.isfinite(s)]
-            s = np.clip(s / max(median_of(known), 1e-9), 0.05, 20) if len(known) >= gw * gh // 4 else np.full_like(s, np.nan)
-            out.append(lens_profile(s))
-        return np.stack(out)
 
-    full, one, two = field(slice(None)), field(slice(0, None, 2)), field(slice(1, None, 2))
+def _judged(slopes: np.ndarray, level: np.ndarray, ratio: float) -> FlatField:
+    """The field of slopes (all frames and two halves; channels; cells): usable if the halves agree."""
+
+    def lens(s: np.ndarray) -> np.ndarray:
+        known = s[np.isfinite(s)]
+        enough = len(known) >= s.size // 4
+        return lens_profile(np.clip(s / max(median_of(known), 1e-9), 0.05, 20) if enough else np.full_like(s, np.nan))
+
+    full, one, two = (np.stack([lens(s) for s in part]) for part in slopes)
     spread = float(full[1].max() - full[1].min())
-    gap = np.abs(one[1] - two[1])
-    disagreement = float("inf") if spread <= 1e-6 else median_of(gap) / spread
-    level = np.array([median_of([median_of(f[np.isfinite(f)]) for f in cube[c] if np.isfinite(f).any()]) for c in range(3)])
+    disagreement = float("inf") if spread <= 1e-6 else median_of(np.abs(one[1] - two[1])) / spread
     usable = disagreement <= MOST_DISAGREEMENT
     if usable:
         full = np.stack([smooth_field(f) for f in full])
@@ -185,11 +193,52 @@ def fit_flat_field(maps: pd.DataFrame, gw: int, gh: int) -> FlatField:
     return FlatField(full, level, ratio, spread, disagreement, usable)
 
 
-def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def flat_fields(maps: DataFrame, by: list[str], gw: int, gh: int) -> DataFrame:
+    """The field of every session (``by``), a row per cell: t_r, t_g, t_b, and the session's facts.
+
+    ``maps``: by, frame_idx, gx, gy, r, g, b (null where masked), level.  Slopes are robust_slope's, a
+    group per cell, channel and half, spread over the cluster; what one task holds of a session is
+    nine slopes a cell, however many frames there are.
+    """
+    frames = maps.groupBy(*by, "frame_idx").agg(F.first("level").alias("level"))
+    w = Window.partitionBy(*by).orderBy("frame_idx")  # a session's frames, a number each
+    half = frames.withColumn("__half", (1 + (F.row_number().over(w) - 1) % 2).cast("int")).drop("level")
+    channels = F.array(*(F.struct(F.lit(k).alias("c"), F.col(n).alias("v")) for k, n in enumerate("rgb")))
+    one = maps.select(*by, "frame_idx", "gx", "gy", "level", F.explode(channels).alias("e")).select(*by, "frame_idx", "gx", "gy", "level", "e.c", "e.v")
+    parts = one.join(half, [*by, "frame_idx"]).withColumn("part", F.explode(F.array(F.lit(0), F.col("__half"))))
+    slopes = robust_slope(parts, [*by, "c", "part", "gx", "gy"], "level", "v")
+
+    medians = one.groupBy(*by, "c", "frame_idx").agg(upper_median("v").alias("m")).groupBy(*by, "c").agg(upper_median("m").alias("m"))
+    levels = medians.groupBy(*by).agg(*(F.max(F.when(F.col("c") == k, F.col("m"))).alias(f"level_{n}") for k, n in enumerate("rgb")))
+    positive = F.when(F.col("level") > 0, F.col("level"))
+    ratio = F.when(F.count(positive) > 1, F.max(positive) / F.greatest(F.min(positive), F.lit(1e-9))).otherwise(1.0)
+    facts = frames.groupBy(*by).agg(F.count(F.lit(1)).alias("n_frames"), ratio.alias("lever")).join(levels, by)
+    kinds = dict(maps.dtypes)
+    made = ["t_r", "t_g", "t_b", "level_r", "level_g", "level_b", "lever", "spread", "disagreement"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "gx int, gy int", *(f"{n} double" for n in made), "usable boolean"])
+
+    def fit(key, found: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        if not len(about):
+            return pd.DataFrame(columns=[*by, "gx", "gy", *made, "usable"])
+        a = about.iloc[0]
+        flat = _no_field(a.lever, gw, gh)
+        if a.n_frames >= 2 * LEAST_SAMPLES and a.lever >= LEAST_LEVER:
+            cube = np.full((3, 3, gh, gw), np.nan)
+            cube[found.part.to_numpy(), found.c.to_numpy(), found.gy.to_numpy(), found.gx.to_numpy()] = found.slope.to_numpy(float)
+            flat = _judged(cube, np.array([a.level_r, a.level_g, a.level_b], float), float(a.lever))
+        y, x = (v.ravel() for v in np.mgrid[:gh, :gw])
+        out = pd.DataFrame({"gx": x, "gy": y, **{f"t_{n}": flat.t[k].ravel() for k, n in enumerate("rgb")}})
+        facts = {f"level_{n}": flat.level[k] for k, n in enumerate("rgb")} | {"lever": flat.lever, "spread": flat.spread, "disagreement": flat.disagreement, "usable": bool(flat.usable)}
+        return out.assign(**dict(zip(by, key, strict=True)), **facts)[[*by, "gx", "gy", *made, "usable"]]
+
+    return slopes.groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(fit, schema)
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, least: int = LEAST_SAMPLES) -> np.ndarray:
     """Robust slope of every column of y over x, all columns side by side; NaN where there is none."""
     ok = np.isfinite(y) & (x > 0)[:, None]
     n, v, at = ok.sum(axis=0), np.where(ok, y, 0.0), x[:, None]
-    keep, slope = ok, np.full(y.shape[1], np.nan)
+    keep, slope, live = ok, np.full(y.shape[1], np.nan), np.ones(y.shape[1], dtype=bool)
     with np.errstate(invalid="ignore", divide="ignore"):
         for k in range(PASSES):
             w = keep.astype(float)
@@ -197,12 +246,13 @@ def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             mx, my = (w * at).sum(axis=0) / total, (w * v).sum(axis=0) / total
             dx = w * (at - mx)
             sxx = (dx * dx).sum(axis=0)
-            slope = np.where(sxx > 1e-12, (dx * (v - my)).sum(axis=0) / sxx, slope)
+            live &= sxx > 1e-12  # a flat x ends it, with the slope so far
+            slope = np.where(live, (dx * (v - my)).sum(axis=0) / sxx, slope)
             off = np.where(ok, np.abs(v - (my + slope * (at - mx))), np.inf)
             if k + 1 < PASSES:
                 mad = np.take_along_axis(np.sort(off, axis=0), np.minimum(n // 2, len(x) - 1)[None, :], axis=0)[0]
                 keep = ok & (off <= BAND * np.maximum(mad, 1e-9))
-        return np.where((n >= LEAST_SAMPLES) & (slope > 0), slope, np.nan)
+        return np.where((n >= least) & (slope > 0), slope, np.nan)
 
 
 def corrected(maps: DataFrame, field: DataFrame, level: float, value: str, frame_level: Column) -> DataFrame:

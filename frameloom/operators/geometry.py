@@ -118,50 +118,46 @@ def recovered(frames: pd.DataFrame, w: float, h: float, limit: float = IMPLAUSIB
     small catalog.  Columns: frame_idx, aligned, angle, tx, ty; adds source.
     """
     f = frames.sort_values("frame_idx").reset_index(drop=True)
-    f["source"] = np.where(f.aligned, "stars", "none")
-
-    def guess(at: int, skip: int | None):
-        ok = f.aligned & ((f.frame_idx - at).abs() <= reach) & (f.frame_idx != skip)
-        before, after = f[ok & (f.frame_idx < at)], f[ok & (f.frame_idx > at)]
-        pick = lambda a, b: (a, b, (at - a.frame_idx) / (b.frame_idx - a.frame_idx))
+    at, m = f.frame_idx.to_numpy(), f[["angle", "tx", "ty"]].to_numpy(float)
+    ok, source = f.aligned.to_numpy(bool).copy(), np.where(f.aligned, "stars", "none").astype(object)
+
+    def guess(k: int, among: np.ndarray):
+        """From the supporting frames next to k (``among``, in order), k itself left out."""
+        lo, hi = np.searchsorted(at[among], [at[k], at[k] + 1])
+        near = lambda rows: rows[np.abs(at[rows] - at[k]) <= reach]
+        before, after = near(among[max(lo - 2, 0) : lo]), near(among[hi : hi + 2])
         if len(before) and len(after):
-            a, b, t = pick(before.iloc[-1], after.iloc[0])
-        elif len(before) > 1:
-            a, b, t = pick(before.iloc[-2], before.iloc[-1])
-        elif len(after) > 1:
-            a, b, t = pick(after.iloc[0], after.iloc[1])
+            a, b = before[-1], after[0]
+        elif len(before) > 1 or len(after) > 1:
+            a, b = before if len(before) > 1 else after
         elif len(before) or len(after):
-            a = b = (before if len(before) else after).iloc[-1 if len(before) else 0]
-            t = 0.0
+            return m[(before if len(before) else after)[0]].copy()
         else:
             return None
-        turn = (b.angle - a.angle + pi) % (2 * pi) - pi
-        return a.angle + turn * t, a.tx + (b.tx - a.tx) * t, a.ty + (b.ty - a.ty) * t
+        t = (at[k] - at[a]) / (at[b] - at[a])
+        turn = (m[b, 0] - m[a, 0] + pi) % (2 * pi) - pi
+        return np.array([m[a, 0] + turn * t, *(m[a, 1:] + (m[b, 1:] - m[a, 1:]) * t)])
 
     def far(one, two):
-        out = 0.0
-        for x, y in ((0, 0), (w, 0), (0, h), (w, h)):
-            (ax, ay), (bx, by) = ((np.cos(m[0]) * x - np.sin(m[0]) * y + m[1], np.sin(m[0]) * x + np.cos(m[0]) * y + m[2]) for m in (one, two))
-            out = max(out, float(np.hypot(ax - bx, ay - by)))
-        return out
-
-    doubtful = []
-    for k in f.index[f.aligned]:
-        made = guess(f.frame_idx[k], f.frame_idx[k])
-        if made and far(made, (f.angle[k], f.tx[k], f.ty[k])) > limit:
-            doubtful.append(k)
-    for k in doubtful:
-        made = guess(f.frame_idx[k], f.frame_idx[k])
-        f.loc[k, "aligned"] = False
-        if made:
-            f.loc[k, ["angle", "tx", "ty"]] = made
-            f.loc[k, "source"] = "replaced"
-    support = f.copy()
-    for k in f.index[~support.aligned & (f.source != "replaced")]:
-        made = guess(f.frame_idx[k], None)
-        if made:
-            f.loc[k, ["angle", "tx", "ty"]] = made
-            f.loc[k, "source"] = "predicted"
+        x, y = np.array([0, w, 0, w]), np.array([0, 0, h, h])
+        put = lambda v: (np.cos(v[0]) * x - np.sin(v[0]) * y + v[1], np.sin(v[0]) * x + np.cos(v[0]) * y + v[2])
+        (ax, ay), (bx, by) = put(one), put(two)
+        return np.hypot(ax - bx, ay - by).max()
+
+    support = np.flatnonzero(ok)
+    guesses = {k: guess(k, support) for k in support}
+    for k in [k for k, made in guesses.items() if made is not None and far(made, m[k]) > limit]:
+        made = guess(k, np.flatnonzero(ok))
+        ok[k] = False
+        if made is not None:
+            m[k], source[k] = made, "replaced"
+    support = np.flatnonzero(ok)
+    for k in np.flatnonzero(~ok & (source != "replaced")):
+        made = guess(k, support)
+        if made is not None:
+            m[k], source[k] = made, "predicted"
+    f["aligned"], f["source"] = ok, source
+    f[["angle", "tx", "ty"]] = m
     return f
 
 

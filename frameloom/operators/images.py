@@ -201,6 +201,22 @@ def level_stats(images: DataFrame) -> DataFrame:
     return map_images(images, kernel, "level double, high double")
 
 
+def frame_levels(images: DataFrame) -> DataFrame:
+    """(frame_idx, levels): level and high level of each channel of three-channel images, in turn."""
+    return map_images(images, lambda a, _: {"levels": K.level_stats(a).ravel()}, "levels array<double>", channels=3)
+
+
+def deflicker(images: DataFrame) -> DataFrame:
+    """Images brought to a reference's levels: ``levels`` the frame's, ``reference`` the reference's, ``guard`` keeps contrast from being raised."""
+
+    def kernel(a, row):
+        own, ref = row["levels"].reshape(3, 2), row["reference"].reshape(3, 2)
+        gain = np.clip((ref[:, 1] - ref[:, 0]) / np.maximum(own[:, 1] - own[:, 0], 1e-6), 0.25, 1.0 if row["guard"] else 4.0)
+        return {"data": np.maximum((a - own[:, 0]) * gain + ref[:, 0], 0.0)}
+
+    return map_images(images, kernel, "data array<double>", ("frame_idx", "h", "w"), channels=3)
+
+
 def normalise(pixels: DataFrame, stats: DataFrame, reference: dict[str, float], guard: Column | None = None) -> DataFrame:
     """Pixels brought to the reference's level and contrast; a guarded frame's contrast is not raised."""
     most = F.when(guard, 1.0).otherwise(4.0) if guard is not None else F.lit(4.0)
@@ -312,25 +328,25 @@ def _relative(other: dict, own: dict) -> tuple[float, float, float, float]:
     return c, s, other["tx"] - (c * own["tx"] - s * own["ty"]), other["ty"] - (s * own["tx"] + c * own["ty"])
 
 
-def clean(images: DataFrame, model, anomalies: dict | None = None, contrast: float = 0.0, clamp: bool = True) -> DataFrame:
+def clean(images: DataFrame, model, contrast: float = 0.0, clamp: bool = True) -> DataFrame:
     """Three-channel images with the session's model (a list of three Glare) and the frame's anomaly subtracted.
 
-    The model is a few kilobytes and travels with the kernel.  ``anomalies`` maps frames to three
-    FrameAnomaly each; a frame without gets the session's model alone.
+    The model is a few kilobytes and travels with the kernel; a frame's anomaly comes with its row
+    (column ``anomaly``, as packed_anomalies makes it).  A frame without one gets the session's model alone.
     """
+    from .solvers import FrameAnomaly, full_radius
 
     def kernel(a, row):
         h, w = a.shape[:2]
         y, x = np.mgrid[:h, :w] + 0.5
         out = np.empty_like(a)
+        packed = row.get("anomaly")
+        found = [FrameAnomaly.unpacked(v) for v in np.split(packed, 3)] if packed is not None and len(packed) else None
         for c in range(3):
             m = model[c]
             k = m.correction(x, y)
             gain = 1 / (1 - np.minimum(contrast * np.maximum(k, 0) / max(m.pedestal, 1e-9), 0.5)) if contrast > 0 else 1.0
-            found = (anomalies or {}).get(row["frame_idx"])
             if found:
-                from .solvers import full_radius
-
                 k = found[c].correction(k, x, y, m.smooth.cx, m.smooth.cy, full_radius(m.smooth.cx, m.smooth.cy, m.smooth.w, m.smooth.h))
             v = a[..., c] * row["wb"][c] - k
             v = m.pedestal + (v - m.pedestal) * gain
@@ -354,9 +370,14 @@ def removed_layer(grid: np.ndarray, pedestal: float, x0: int, y0: int, w: int, h
     return np.maximum(Surface(grid, float(step)).at(x, y) + pedestal, 0.0)
 
 
-def keep_occlusions(images: DataFrame) -> DataFrame:
+def keep_occlusions(images: DataFrame, keep: tuple[str, ...] = ("frame_idx", "h", "w")) -> DataFrame:
     """Combined images (data) blended with the frame's own (current) where it hides stars; fg: masked pixels, optional."""
-    return map_images(_with_mask(images), lambda a, r: dict(zip(("data", "share"), K.keep_occlusions(r["current"].reshape(a.shape), a, r["fg"].reshape(a.shape[:2]).astype(bool)), strict=True)), "data array<double>, share double", ("frame_idx", "h", "w"), channels=3)
+
+    def kernel(a, r):
+        out, share = K.keep_occlusions(r["current"].reshape(a.shape), a, r["fg"].reshape(a.shape[:2]).astype(bool))
+        return {"data": out, "share": share}
+
+    return map_images(_with_mask(images), kernel, "data array<double>, share double", keep, channels=3)
 
 
 def keep_transients(images: DataFrame) -> DataFrame:

@@ -82,6 +82,22 @@ def frame_anomalies(cells: DataFrame, session: np.ndarray, model: S.Glare, mode:
     return cells.groupBy("frame_idx").applyInPandas(run, f"frame_idx {kind}, {ANOMALY}")
 
 
+def packed_anomalies(cells: DataFrame, sessions: list[np.ndarray], model: list[S.Glare], mode: str = "full") -> DataFrame:
+    """(frame_idx, anomaly): each frame's anomaly of all three channels (columns r, g, b of the cells) as one array, for ``images.clean``."""
+    gh, gw = sessions[0].shape
+    kind = dict(cells.dtypes)["frame_idx"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for name, session, m in zip("rgb", sessions, model, strict=True):
+            seen = grid_of(pdf, name, gw, gh)
+            sky = np.isfinite(seen) & np.isfinite(session)
+            found.append(S.fit_anomaly(np.where(sky, seen, 0.0), np.where(sky, session, 0.0), sky, m, mode).packed())
+        return pd.DataFrame({"frame_idx": [pdf.frame_idx.iloc[0]], "anomaly": [np.concatenate(found)]})
+
+    return cells.groupBy("frame_idx").applyInPandas(run, f"frame_idx {kind}, anomaly array<double>")
+
+
 def centre_search(spark, values: np.ndarray, block: int, exclude: np.ndarray | None = None, levels: int = 4) -> tuple[float, float]:
     """The optical centre, its candidates scored in parallel, one grid of candidates after the other."""
 

@@ -404,6 +404,17 @@ class FrameAnomaly:
         wgt = smoothstep(np.hypot(x - cx, y - cy) / r_full, 0.20, 0.35)
         return k + (self.gain - 1) * (k - lp) * wgt + (self.dome - 1) * (k - self.mean) + self.surface.at(x, y) - self.pedestal
 
+    def packed(self) -> np.ndarray:
+        """All of it as one flat array, to travel in a row."""
+        facts = [self.surface.step, self.pedestal, self.range, self.gain, self.dome, self.mean, self.level_ratio, self.block, *self.surface.nodes.shape, *self.low.shape]
+        return np.concatenate([np.asarray(facts, dtype=float), self.surface.nodes.ravel(), self.low.ravel()])
+
+    @classmethod
+    def unpacked(cls, v: np.ndarray) -> FrameAnomaly:
+        step, pedestal, spread, gain, dome, mean, ratio, block = (float(x) for x in v[:8])
+        ny, nx, gh, gw = (int(x) for x in v[8:12])
+        return cls(Surface(v[12 : 12 + ny * nx].reshape(ny, nx), step), pedestal, spread, gain, dome, v[12 + ny * nx :].reshape(gh, gw), mean, ratio, int(block))
+
 
 def fit_anomaly(frame: np.ndarray, session: np.ndarray, sky: np.ndarray, model: Glare, mode: str = "full") -> FrameAnomaly:
     """A frame's background less the session's: a stiff surface, a gain of the halo and one of the dome.

@@ -22,6 +22,7 @@ class Config:
     anomaly: str = "full"
     contrast: float = 0.0
     deflicker: bool = True
+    cloud_guard: bool = True
     keep_transients: bool = True
 
     def problems(self) -> list[str]:

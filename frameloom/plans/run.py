@@ -21,6 +21,7 @@ from ..operators import background as B
 from ..operators import catalog as G
 from ..operators import geometry as T
 from ..operators import images as I
+from ..operators import models as M
 from ..operators import solvers as S
 from ..sources import frames as R
 from ..sources import sinks
@@ -108,17 +109,18 @@ def cloudiness(maps: DataFrame, gw: int, gh: int, block: int = BLOCK) -> DataFra
     return masks.groupBy("frame_idx").agg(B.mask_fraction(F.col("masked")).alias("cloud"))
 
 
-def session_model(maps: DataFrame, chosen: DataFrame, gw: int, gh: int, block: int = BLOCK) -> list[S.Glare]:
-    """Additive model of each channel from the model frames' median map (one grid of cells per channel)."""
+def session_model(maps: DataFrame, chosen: DataFrame, gw: int, gh: int, block: int = BLOCK) -> tuple[list[S.Glare], list[np.ndarray]]:
+    """Additive model of each channel, and the model frames' median map that it is of (one grid of cells per channel)."""
     picked = maps.join(chosen.where("in_model").select("frame_idx"), "frame_idx")
-    model, centre = [], None
+    model, grids, centre = [], [], None
     for name in "grb":  # green finds the centre for all
         cells = B.temporal_median(picked, name, least=1).toPandas()  # a row per cell
         grid = np.full((gh, gw), np.nan)
         grid[cells.gy, cells.gx] = cells.v
         centre = centre or S.find_centre(grid, block)
+        grids.append(grid)
         model.append(S.fit_glare(grid, block, centre=centre, with_surface=min(gw, gh) >= 8))
-    return [model[1], model[0], model[2]]
+    return [model[1], model[0], model[2]], [grids[1], grids[0], grids[2]]
 
 
 def report_lines(facts: DataFrame, bad: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def run(spark: SparkSession, config: Config, work: str, block: int = BLOCK, deco
     found = standing(frames) if config.fixed_tripod else aligned(frames, config)
     if not config.fixed_tripod:
         found = T.recovered_sessions(found.withColumn("session", F.lit(0)), ["session"], float(size.w), float(size.h)).drop("session")
-        found = found.withColumn("aligned", F.col("source") != "none")
+        found = found.where("source <> 'none'")  # replaced and predicted frames are exported, and stay out of the stack
     levels = B.sky_level(maps, "g")
     facts = found.join(levels, "frame_idx", "left").join(cloudiness(maps, gw, gh, block), "frame_idx", "left")
     facts = facts.withColumns({"fg": F.lit(0.0), "cloud": F.coalesce("cloud", F.lit(0.0)), "level": F.coalesce("level", F.lit(0.0))})
@@ -158,8 +160,13 @@ def run(spark: SparkSession, config: Config, work: str, block: int = BLOCK, deco
     catalog = kept(chosen, work, "catalog")
     report = kept(report_lines(G.selection_report(catalog), bad), work, "report")
 
-    model = None if config.no_correction else session_model(maps, catalog, gw, gh, block)
-    images = frames if model is None else frames.drop("data").join(I.clean(frames, model, contrast=config.contrast).select("frame_idx", "data"), "frame_idx")
+    model, images = None, frames
+    if not config.no_correction:
+        model, grids = session_model(maps, catalog, gw, gh, block)
+        raw = frames
+        if config.anomaly != "none":  # each frame's own, fitted where its cells are
+            raw = frames.join(M.packed_anomalies(maps, grids, model, config.anomaly), "frame_idx", "left")
+        images = frames.drop("data").join(I.clean(raw, model, contrast=config.contrast).select("frame_idx", "data"), "frame_idx")
     stack = exported = None
     if not config.no_stack:
         stack = kept(stacked(images, catalog), work, "stack")
@@ -184,13 +191,31 @@ def stacked(images: DataFrame, catalog: DataFrame) -> DataFrame:
     return total.select("h", "w", mean.alias("data"), "cover")
 
 
+def evened(images: DataFrame, catalog: DataFrame, guard: bool) -> DataFrame:
+    """(frame_idx, data): images at the levels of the stacked frame nearest the session's; guarded, contrast is never raised.
+
+    Without a stacked frame there is no reference, and images stay as they are.
+    """
+    levels = I.frame_levels(images)
+    reference = levels.join(F.broadcast(G.levels_reference(catalog).select("frame_idx")), "frame_idx").select(F.col("levels").alias("reference"))  # one row
+    rows = images.select("frame_idx", "h", "w", "data").join(levels, "frame_idx").join(F.broadcast(reference), how="left")
+    return I.deflicker(rows.withColumns({"reference": F.coalesce("reference", "levels"), "guard": F.lit(guard)})).select("frame_idx", "data")
+
+
 def sequence(images: DataFrame, catalog: DataFrame, config: Config) -> DataFrame:
     """The clean sequence: every exported frame combined with its neighbours in time, transients of its own kept."""
     order = G.export_order(catalog, white=1.0, stabilise=not config.fixed_tripod).select("frame_idx", "position", "angle", "tx", "ty")
+    if config.deflicker:
+        images = images.drop("data").join(evened(images, catalog, config.cloud_guard), "frame_idx")
     shown = images.join(order, "frame_idx").withColumn("mask", F.array_repeat(F.lit(False), (F.col("h") * F.col("w")).cast("int")))
     combined = I.window_frames(shown.select("frame_idx", "position", "h", "w", "data", "mask", "angle", "tx", "ty"), config.export_window)
-    if config.keep_transients:
+    guarded = config.cloud_guard and config.export_window > 1
+    if guarded or config.keep_transients:
         own = shown.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("data").alias("current"))
-        combined = I.keep_transients(combined.join(own, "frame_idx"))
+        combined = combined.join(own, "frame_idx")
+    if guarded:  # before transients: where a cloud covers the frame, nothing is left for them to find
+        combined = I.keep_occlusions(combined, keep=("frame_idx", "h", "w", "current", "used"))
+    if config.keep_transients:
+        combined = I.keep_transients(combined)
     names = shown.select(F.col("frame_idx").cast("long").alias("frame_idx"), sinks.export_name(F.col("path")).alias("name"), "camera")
     return combined.join(names, "frame_idx")

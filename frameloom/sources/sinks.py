@@ -59,9 +59,11 @@ def export_name(path: Column) -> Column:
 WRITTEN = "frame_idx long, path string, bytes long"
 
 
-def write_dngs(frames: DataFrame, folder: str, sources: dict[int, bytes] | None = None) -> DataFrame:
+def write_dngs(frames: DataFrame, folder: str) -> DataFrame:
     """Write each image (frame_idx, name, h, w, data, camera) as a file; returns what was written.
 
+    An optional column ``head`` (the first bytes of the source file) gives the tags to embed.
+
     The folder may be on any file system that pyarrow opens.  A file is written under a
     temporary name and moved into place, so a repeated task does no harm.
     """
@@ -77,11 +79,11 @@ def write_dngs(frames: DataFrame, folder: str, sources: dict[int, bytes] | None
             rows = []
             for r in pdf.itertuples():
                 data = dng(np.asarray(r.data, dtype=float).reshape(r.h, r.w, 3), r.camera or "")
-                head = (sources or {}).get(r.frame_idx)
+                head = getattr(r, "head", None)
                 if head:
                     try:
-                        data = T.embed(data, T.read_tags(head))
-                    except T.NotTiff:
+                        data = T.embed(data, T.read_tags(bytes(head)))
+                    except (T.NotTiff, struct.error):
                         pass  # a source without tags: the picture is whole without them
                 scratch, path = f"{root}/.{uuid.uuid4().hex}", f"{root}/{r.name}"
                 with files.open_output_stream(scratch, compression=None) as out:
@@ -90,7 +92,7 @@ def write_dngs(frames: DataFrame, folder: str, sources: dict[int, bytes] | None
                 rows.append((r.frame_idx, path, len(data)))
             yield pd.DataFrame(rows, columns=["frame_idx", "path", "bytes"])
 
-    return frames.select("frame_idx", "name", "h", "w", "data", "camera").mapInPandas(run, WRITTEN)
+    return frames.select("frame_idx", "name", "h", "w", "data", "camera", *(["head"] if "head" in frames.columns else [])).mapInPandas(run, WRITTEN)
 
 
 def dump_table(df: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from frameloom.plans import measures as Q
+from frameloom.plans import planted as Q
 
 from .compare import assert_same
 

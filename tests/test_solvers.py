@@ -135,6 +135,64 @@ def test_flat_field_recovers_vignetting():
     assert not L.fit_flat_field(maps[maps.frame_idx < 5], gw, gh).usable
 
 
+def test_flat_fields_of_sessions_equal_the_one_machine_form(spark):
+    gw, gh, n = 130, 100, 24  # the innermost bin needs a fine grid
+    _, _, r = L._radius(gh, gw)
+    k, j, i = (a.ravel() for a in np.mgrid[:n, :gh, :gw])
+    level = 0.2 + 0.02 * np.arange(n)
+    seen = ((1 - 0.35 * r**2) * level[:, None, None] + np.random.default_rng(6).normal(0, 1e-4, (n, gh, gw))).ravel()
+    maps = pd.DataFrame({"frame_idx": k, "gx": i, "gy": j, "r": seen * 1.1, "g": seen, "b": seen * 0.9, "level": level[k]})
+    short = maps[maps.frame_idx < 5]
+    both = spark.createDataFrame(pd.concat([maps.assign(session=0), short.assign(session=1)]))
+    got = L.flat_fields(both, ["session"], gw, gh).toPandas()
+    want = L.fit_flat_field(maps, gw, gh)
+    one = got[got.session == 0].sort_values(["gy", "gx"])
+    assert one.usable.all() and want.usable and one.lever.iloc[0] == pytest.approx(want.lever)
+    for c, name in enumerate("rgb"):
+        np.testing.assert_allclose(one[f"t_{name}"].to_numpy().reshape(gh, gw), want.t[c], atol=1e-9)
+        assert one[f"level_{name}"].iloc[0] == pytest.approx(want.level[c])
+    two = got[got.session == 1]
+    assert len(two) == gw * gh and not two.usable.any() and (two.t_g == 1).all()
+
+
+def test_slope_keeps_what_it_had_when_x_becomes_flat():
+    x = np.array([1.0] * 12 + [2.0])
+    y = np.array([1.0] * 12 + [5.0])  # the only other level drops out of the second pass
+    assert L._slopes(x, y[:, None])[0] == pytest.approx(4.0)
+    assert np.isnan(L._slopes(np.ones(13), y[:, None])[0]) and np.isnan(L._slopes(x[:5], y[:5, None])[0])
+
+
+def test_anomalies_travel_in_rows_and_are_subtracted(spark):
+    from frameloom.operators import images as I
+    from frameloom.operators import models as M
+
+    x, y = grid(16, 12)
+    session = 0.5 + halo(x, y, 256, 192, 150)
+    model = S.fit_glare(session, BLOCK, centre=(256.0, 192.0), with_surface=False)
+    one = S.fit_anomaly(session + 0.02 * x / 512, session, np.ones_like(session, dtype=bool), model)
+    back = S.FrameAnomaly.unpacked(one.packed())
+    k = model.correction(x, y)
+    np.testing.assert_allclose(back.correction(k, x, y, 256, 192, 192), one.correction(k, x, y, 256, 192, 192))
+
+    rows = [(f, int(gx), int(gy), *([float(v + 0.02 * f * gx / 16)] * 3)) for f in (0, 1) for gy, line in enumerate(session) for gx, v in enumerate(line)]
+    cells = spark.createDataFrame(rows, "frame_idx long, gx int, gy int, r double, g double, b double")
+    found = M.packed_anomalies(cells, [session] * 3, [model] * 3)
+    py, px = np.mgrid[:384, :512] + 0.5
+    frame = model.at(px, py) + 0.02 * px / 512
+    data = np.repeat(frame[..., None], 3, axis=2).ravel().tolist()
+    images = spark.createDataFrame([(1, 384, 512, data, [1.0] * 3), (2, 384, 512, data, [1.0] * 3)], "frame_idx long, h int, w int, data array<double>, wb array<double>")
+    got = {r.frame_idx: np.array(r.data) for r in I.clean(images.join(found, "frame_idx", "left"), [model] * 3).collect()}
+    assert np.ptp(got[1]) < 0.4 * np.ptp(got[2])  # frame 2 has no anomaly: its gradient stays
+    levels = spark.createDataFrame([(1, 64, 64, (np.random.default_rng(1).random(64 * 64 * 3) + 1).tolist()), (2, 64, 64, (np.random.default_rng(1).random(64 * 64 * 3) * 2 + 3).tolist())], "frame_idx long, h int, w int, data array<double>")
+    stats = I.frame_levels(levels)
+    from pyspark.sql import functions as F
+
+    ref = stats.where("frame_idx = 1").select(F.col("levels").alias("reference"))
+    even = I.deflicker(levels.join(stats, "frame_idx").crossJoin(ref).withColumn("guard", F.lit(True)))
+    a, b = (np.array(r.data) for r in even.orderBy("frame_idx").collect())
+    np.testing.assert_allclose(a, b, atol=1e-9)
+
+
 def test_lens_profile_falls_outward_and_gives_up_on_nothing():
     f = L.lens_profile(np.full((12, 16), np.nan))
     assert (f == 1).all()

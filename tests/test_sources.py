@@ -95,7 +95,7 @@ def test_dng_is_a_tiff_with_the_samples(spark, tmp_path):
     assert list(entries) == sorted(entries)
     assert np.frombuffer(data, "<u2", 6, 8).tolist() == [0, 32768, 65535, 65535, 0, 16384]
     frames = spark.createDataFrame([(0, "x_clean.dng", 1, 2, rgb.ravel().tolist(), "Cam")], "frame_idx long, name string, h int, w int, data array<double>, camera string")
-    done = W.write_dngs(frames, f"file://{tmp_path}/out", {0: tiff(">", FIRST, SECOND)}).collect()
+    done = W.write_dngs(frames.withColumn("head", F.lit(tiff(">", FIRST, SECOND))), f"file://{tmp_path}/out").collect()
     assert T.text_of(T.read_tags((tmp_path / "out" / "x_clean.dng").read_bytes())["second"], 42036) == "Lens 14"
     assert done[0].bytes == (tmp_path / "out" / "x_clean.dng").stat().st_size
 
