@@ -131,12 +131,41 @@ def automaton(path: str) -> Automaton:
         return _BUILT[path]
 
 
-def count_texts(own: Automaton, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Words whose counts a task remembers from batch to batch (16 bytes each); beyond, it starts again.
+REMEMBERED = 1 << 18
+
+
+class Known:
+    """Counts of words met before, by hash: saves work, never changes a result."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.keys, self.counts = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def look(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of sorted hashes, and which of them are known."""
+        if not len(self.keys):
+            return np.zeros(len(kinds), np.int64), np.zeros(len(kinds), dtype=bool)
+        k = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+        return self.counts[k], self.keys[k] == kinds
+
+    def add(self, kinds: np.ndarray, counts: np.ndarray) -> None:
+        if len(self.keys) + len(kinds) > self.most:
+            self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, values = np.concatenate([self.keys, kinds[: self.most]]), np.concatenate([self.counts, counts[: self.most]])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.counts = keys[order], values[order]
+
+
+def count_texts(own: Automaton, column: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, tokens and unknown words of each text."""
+    known = Known(0) if known is None else known
     words = words_of(texts_of(column))
     kinds, pick, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-    distinct = [MARK + words.texts.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)]
-    n = own.counts(distinct) if len(kinds) else np.zeros(0, np.int64)
+    n, met = known.look(kinds)
+    if not met.all():
+        new = pick[~met]
+        n[~met] = own.counts([MARK + words.texts.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
+        known.add(kinds[~met], n[~met])
     total = np.concatenate([[0], np.cumsum(np.where(n < 0, 1, n)[inverse])])
     unknown = np.concatenate([[0], np.cumsum((n < 0)[inverse])])
     return words.counts, np.diff(total[words.first]), np.diff(unknown[words.first])
@@ -144,10 +173,10 @@ def count_texts(own: Automaton, column: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton(path)
+        own, known = automaton(path), Known()
         for batch in batches:
             for step in steps(batch, "text"):
-                yield pa.RecordBatch.from_arrays([step.column("id"), *(pa.array(x, pa.int64()) for x in count_texts(own, step.column("text")))], ["id", "n_words", "n_tokens", "n_unknown"])
+                yield pa.RecordBatch.from_arrays([step.column("id"), *(pa.array(x, pa.int64()) for x in count_texts(own, step.column("text"), known))], ["id", "n_words", "n_tokens", "n_unknown"])
 
     return run
 

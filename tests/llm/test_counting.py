@@ -38,6 +38,20 @@ def test_automaton_is_greedy_longest_match():
         assert A.Automaton(sorted(vocabulary)).counts(some).tolist() == [greedy(w, vocabulary) for w in some]
 
 
+def test_remembered_words_change_nothing(piece_bpe):
+    import pyarrow as pa
+
+    own, rng = A.automaton(piece_bpe), np.random.default_rng(3)
+    pool = ["".join(rng.choice(list("abcdeé😀z"), rng.integers(1, 9))) for _ in range(400)]
+    for most in (0, 1, 50, 1 << 18):
+        known = A.Known(most)
+        for _ in range(6):
+            texts = pa.array([" ".join(rng.choice(pool, rng.integers(0, 60))) for _ in range(20)] + [None, ""])
+            for a, b in zip(A.count_texts(own, texts, known), A.count_texts(own, texts), strict=True):
+                assert (a == b).all()
+            assert len(known.keys) <= most and len(np.unique(known.keys)) == len(known.keys)
+
+
 def test_token_counts_of_odd_texts(odd, empty, piece_bpe):
     vocabulary = set(A.vocabulary_of(piece_bpe))
     want = []
