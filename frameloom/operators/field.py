@@ -255,11 +255,37 @@ def _slopes(x: np.ndarray, y: np.ndarray, least: int = LEAST_SAMPLES) -> np.ndar
         return np.where((n >= least) & (slope > 0), slope, np.nan)
 
 
-def corrected(maps: DataFrame, field: DataFrame, level: float, value: str, frame_level: Column) -> DataFrame:
-    """Maps with the field's deficit added: what the lens withheld at this frame's level.
+def corrected(maps: DataFrame, field: DataFrame, level: float, value: str, frame_level: Column, over: float | None = None, t: str = "t") -> DataFrame:
+    """Maps with the field's deficit added: what the lens withheld, in a channel of this level, at this frame's level.
 
-    ``field``: gx, gy, t (a row per cell).
+    ``field``: gx, gy and the channel's transmission (a row per cell).  ``over``: the session's level
+    that the frame's is held against (green's), the channel's own if not given.
     """
-    ratio = F.when(frame_level > 0, frame_level / F.lit(level)).otherwise(1.0) if level > 0 else F.lit(1.0)
+    over = level if over is None else over
+    ratio = F.when(frame_level > 0, frame_level / F.lit(over)).otherwise(1.0) if over > 0 else F.lit(1.0)
+    lens = field.select("gx", "gy", F.col(t).alias("__t"))
     deficit = (1 - clamp(F.col("__t"), FLOOR, 1.0)) * F.lit(level) * ratio
-    return maps.join(field.select("gx", "gy", F.col("t").alias("__t")), ["gx", "gy"]).withColumn(value, F.col(value) + deficit).drop("__t")
+    return maps.join(lens, ["gx", "gy"]).withColumn(value, F.col(value) + deficit).drop("__t")
+
+
+def lifted(maps: DataFrame, levels: DataFrame, chosen: DataFrame, gw: int, gh: int) -> tuple[DataFrame, FlatField, DataFrame]:
+    """A session's maps (frame_idx, gx, gy, r, g, b) with its field's deficit added, the field, and (frame_idx, flat_ratio).
+
+    ``levels``: frame_idx, level.  The field is of the ``chosen`` frames; one that can't be told leaves the maps as they are.
+    """
+    own = maps.join(chosen.select("frame_idx"), "frame_idx").join(levels, "frame_idx").withColumn("__one", F.lit(0))
+    rows = flat_fields(own, ["__one"], gw, gh).drop("__one")
+    found = rows.toPandas().sort_values(["gy", "gx"])  # a row per cell
+    if not len(found) or not found.usable.iloc[0]:
+        ratios = levels.select("frame_idx", F.lit(1.0).alias("flat_ratio"))
+        return maps, _no_field(float(found.lever.iloc[0]) if len(found) else 1.0, gw, gh), ratios
+    a = found.iloc[0]
+    level = np.array([a.level_r, a.level_g, a.level_b], dtype=float)
+    flat = FlatField(np.stack([found[f"t_{n}"].to_numpy().reshape(gh, gw) for n in "rgb"]), level, float(a.lever), float(a.spread), float(a.disagreement), True)
+    ratio = F.when(F.col("level") > 0, F.col("level") / float(level[1])).otherwise(1.0) if level[1] > 0 else F.lit(1.0)
+    ratios = levels.select("frame_idx", ratio.alias("flat_ratio"))
+    lens = maps.sparkSession.createDataFrame(found[["gx", "gy", "t_r", "t_g", "t_b"]])
+    out = maps.join(levels.select("frame_idx", F.col("level").alias("__level")), "frame_idx", "left").withColumn("__level", F.coalesce("__level", F.lit(0.0)))
+    for n, scale in zip("rgb", level, strict=True):
+        out = corrected(out, lens, float(scale), n, F.col("__level"), float(level[1]), f"t_{n}")
+    return out.drop("__level"), flat, ratios

@@ -328,13 +328,15 @@ def _relative(other: dict, own: dict) -> tuple[float, float, float, float]:
     return c, s, other["tx"] - (c * own["tx"] - s * own["ty"]), other["ty"] - (s * own["tx"] + c * own["ty"])
 
 
-def clean(images: DataFrame, model, contrast: float = 0.0, clamp: bool = True) -> DataFrame:
+def clean(images: DataFrame, model, contrast: float = 0.0, clamp: bool = True, flat=None) -> DataFrame:
     """Three-channel images with the session's model (a list of three Glare) and the frame's anomaly subtracted.
 
     The model is a few kilobytes and travels with the kernel; a frame's anomaly comes with its row
     (column ``anomaly``, as packed_anomalies makes it).  A frame without one gets the session's model alone.
+    With a usable FlatField, what the lens withheld is added first, at the frame's ``flat_ratio``.
     """
-    from .solvers import FrameAnomaly, full_radius
+    from .field import FLOOR
+    from .solvers import FrameAnomaly, Surface, full_radius
 
     def kernel(a, row):
         h, w = a.shape[:2]
@@ -349,6 +351,10 @@ def clean(images: DataFrame, model, contrast: float = 0.0, clamp: bool = True) -
             if found:
                 k = found[c].correction(k, x, y, m.smooth.cx, m.smooth.cy, full_radius(m.smooth.cx, m.smooth.cy, m.smooth.w, m.smooth.h))
             v = a[..., c] * row["wb"][c] - k
+            if flat is not None and flat.usable:
+                block = float(m.block)
+                t = Surface(flat.t[c], block).at(x - block / 2, y - block / 2)
+                v = v + (1 - np.clip(t, FLOOR, 1.0)) * flat.level[c] * row["flat_ratio"]
             v = m.pedestal + (v - m.pedestal) * gain
             out[..., c] = np.maximum(v, 0.0) if clamp else v
         return {"data": out}

@@ -19,6 +19,7 @@ from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import background as B
 from ..operators import catalog as G
+from ..operators import field as L
 from ..operators import geometry as T
 from ..operators import images as I
 from ..operators import models as M
@@ -162,11 +163,18 @@ def run(spark: SparkSession, config: Config, work: str, block: int = BLOCK, deco
 
     model, images = None, frames
     if not config.no_correction:
+        raw, flat = frames, None
+        if config.fixed_tripod:  # only where the sky moves over the sensor can the lens be told from the sky
+            lit, flat, ratios = L.lifted(maps, catalog.select("frame_idx", "level"), catalog.where("in_model"), gw, gh)
+            report = report.unionByName(spark.createDataFrame([("model", flat.report(), False)], report.schema))
+            if flat.usable:
+                maps = kept(lit, work, "lifted")
+                catalog = kept(catalog.drop("level").join(B.sky_level(maps, "g"), "frame_idx", "left").withColumn("level", F.coalesce("level", F.lit(0.0))), work, "relevelled")
+            raw = frames.join(ratios, "frame_idx")
         model, grids = session_model(maps, catalog, gw, gh, block)
-        raw = frames
         if config.anomaly != "none":  # each frame's own, fitted where its cells are
-            raw = frames.join(M.packed_anomalies(maps, grids, model, config.anomaly), "frame_idx", "left")
-        images = frames.drop("data").join(I.clean(raw, model, contrast=config.contrast).select("frame_idx", "data"), "frame_idx")
+            raw = raw.join(M.packed_anomalies(maps, grids, model, config.anomaly), "frame_idx", "left")
+        images = frames.drop("data").join(I.clean(raw, model, contrast=config.contrast, flat=flat).select("frame_idx", "data"), "frame_idx")
     stack = exported = None
     if not config.no_stack:
         stack = kept(stacked(images, catalog), work, "stack")

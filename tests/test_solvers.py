@@ -155,6 +155,33 @@ def test_flat_fields_of_sessions_equal_the_one_machine_form(spark):
     assert len(two) == gw * gh and not two.usable.any() and (two.t_g == 1).all()
 
 
+def test_maps_and_pixels_get_back_what_the_lens_withheld(spark):
+    from pyspark.sql import functions as F
+
+    from frameloom.operators import images as I
+
+    gw, gh, n, block = 130, 100, 24, 2
+    _, _, r = L._radius(gh, gw)
+    lens = 1 - 0.35 * r**2
+    k, j, i = (a.ravel() for a in np.mgrid[:n, :gh, :gw])
+    level = 0.2 + 0.02 * np.arange(n)
+    seen = (lens * level[:, None, None] + np.random.default_rng(6).normal(0, 1e-4, (n, gh, gw))).ravel()
+    maps = spark.createDataFrame(pd.DataFrame({"frame_idx": k, "gx": i, "gy": j, "r": seen, "g": seen, "b": seen}))
+    levels = spark.createDataFrame([(f, float(np.median(lens) * v)) for f, v in enumerate(level)], "frame_idx long, level double")
+    lit, flat, ratios = L.lifted(maps, levels, levels, gw, gh)
+    assert flat.usable
+    one = lit.where("frame_idx = 20").toPandas().sort_values(["gy", "gx"]).g.to_numpy()
+    assert np.std(one) < 0.25 * np.std(seen[k == 20]) and len(one) == gw * gh
+    picture = np.repeat(np.repeat(lens * level[20], block, 0), block, 1)
+    flat_model = [S.Glare(S.Smooth(np.zeros(10), np.zeros((3, 4)), gw * 1.0, gh * 1.0, 64.0, 2.0 * gw, 2.0 * gh, 0.0), block)] * 3
+    row = [(20, 2 * gh, 2 * gw, np.repeat(picture[..., None], 3, 2).ravel().tolist(), [1.0] * 3)]
+    images = spark.createDataFrame(row, "frame_idx long, h int, w int, data array<double>, wb array<double>").join(ratios, "frame_idx")
+    got = np.array(I.clean(images, flat_model, flat=flat).first().data)
+    assert np.std(got) < 0.25 * np.std(picture)
+    few, none, same = L.lifted(maps, levels, levels.where(F.col("frame_idx") < 5), gw, gh)
+    assert few is maps and not none.usable and {x.flat_ratio for x in same.collect()} == {1.0}
+
+
 def test_slope_keeps_what_it_had_when_x_becomes_flat():
     x = np.array([1.0] * 12 + [2.0])
     y = np.array([1.0] * 12 + [5.0])  # the only other level drops out of the second pass
