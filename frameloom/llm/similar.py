@@ -1,22 +1,32 @@
 """Near copies by the Jaccard similarity of their word shingles, checked exactly.
 
-Method: texts of one set of shingles are one class.  Min-hash signatures of a
-class, in ``BANDS`` bands of ``ROWS`` values, put it in one list per band; two
-classes that share a list are a candidate pair, and a candidate pair is linked if
-the Jaccard similarity of their whole shingle sets is ``least`` or more.  A pair at
-0.8 misses every list with probability (1 - 0.8^4)^28 = 4e-7; more similar pairs
-with less.  SimHash fingerprints of 64 bits can't supply these candidates: pairs at
-0.8 differ in ten bits on average and some share no byte, so no choice of shared
-bytes is guaranteed.
-
-Scale: lists of one class fall at once.  In each list every class is first compared
-with one hub, chosen by a hash so that the lists of a group have different hubs: a
-few comparisons for each copy.  After components of these links, only lists that
-still hold classes of different components are looked at again.  They are cut into
-blocks of about ``BLOCK`` classes, and a task compares the texts of two blocks,
-classes of different components only, and returns the links that join components:
-fewer than it has classes.  No candidate pair is left out, no pair becomes a row
-but those with a hub, and no list is held by one task.
+Method: texts of one set of shingles are one class.  A class has a SimHash
+fingerprint of its shingle set, wider than 64 bits, and the candidates come from a
+byte-position inverted index with count filtering: a class is posted under every
+positional byte; in a list the positional bytes that each pair shares are tallied,
+pairs under ``SHARED`` fall, the differing bits of the others are counted, and pairs
+with more than similar sets can have fall too.  A candidate pair is linked if the
+Jaccard similarity of the whole shingle sets is ``least`` or more.
+
+Width: a bit of two sets of one size differs with probability acos(2s / (1 + s)) / pi,
+0.1515 at s = 0.8 (0.161 at most for sets of six to twenty-nine shingles, computed
+exactly; 0.1875 for four shared of five).  64 bits guarantee no shared byte, so the
+fingerprint is as wide as ``MISSED`` asks: 56 bytes at 0.8, where a pair shares 15 on
+average, and fewer than two with probability 5e-7 (3e-6 for the worst of six to
+twenty-nine shingles, 1e-4 for four of five); more similar pairs with less.
+
+Scale: a list holds 1/256 of the classes, about, in the order of their numbers of
+shingles, so that only sets of near sizes meet; a list over ``LIST`` is cut into
+blocks that meet pairwise, each pair of blocks a group of its own.  Tallies grow with
+the square of the classes over 256, rows in proportion.  The candidates of a list
+fall into parts; in each part every class is first compared with one hub, chosen by
+a hash so that the lists of a group have several hubs: a few comparisons for each
+copy.  After components of these links, only parts that still hold classes of
+different components are looked at again.  They are cut into blocks of about
+``BLOCK`` classes or ``HELD`` shingles, and a task compares the texts of two blocks, classes of different
+components only, and returns the links that join components: fewer than it has
+classes.  No candidate pair is left out, no pair becomes a row but those with a hub,
+and no list is held by one task.
 
 Defined cases: shingles are of lower-cased words (A to Z); a text with fewer words
 than a shingle has its whole sequence as the one shingle; null and wordless texts
@@ -25,6 +35,7 @@ are one class; a row with a null id takes no part in links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +49,24 @@ from .textkit import joined, mix64, steps, texts_of, words_of, xxh64_ranges
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
-BANDS, ROWS = 28, 4
 SEED = 42
 
+#: Positional bytes that a pair must share, and how likely a pair at the threshold may share fewer.
+SHARED, MISSED = 2, 4e-6
+
+#: Differing bits of small sets over those of large ones, at most; deviations allowed over the expected number.
+SMALL, DEVIATIONS = 1.07, 5
+
+#: Entries of a list in a block, about, pairs of a list tallied at once, rows of them, and orders of hubs.
+LIST, PAIR_STEP, ROWS, HUBS = 65536, 1 << 18, 128, 8
+
 #: Bytes of text worked on at once: several arrays of a word each are alive at a time.
 STEP_BYTES = 1 << 20
 
-#: Classes of a list in a block, about, and shingles of a table of shared shingles.
-BLOCK, COLUMNS = 256, 4096
+#: Classes and shingles of a part in a block, about (whichever is reached first), and shingles of a table of shared shingles.
+BLOCK, HELD, COLUMNS = 1024, 1 << 18, 4096
 
-_SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SALTS = mix64(np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -75,33 +94,187 @@ def _per_set(how, values: np.ndarray, offsets: np.ndarray, empty: int) -> np.nda
     return out
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each set (one for equal sets), and its BANDS band keys."""
-    key = mix64(_per_set(np.add, mix64(h ^ _SALTS[0]), offsets, 0) ^ (np.diff(offsets).astype(np.uint64) * _SALTS[1]))
-    bands = np.empty((len(key), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        out = np.full(len(key), b, dtype=np.uint64)
-        for r in range(ROWS):
-            salt = _SALTS[b * ROWS + r]
-            x = (h ^ salt) * (salt | np.uint64(1))
-            least = _per_set(np.minimum, x ^ (x >> np.uint64(32)), offsets, 0)
-            out = mix64((out + salt) ^ least)
-        bands[:, b] = out
-    return key, bands
+def differing(least: float) -> float:
+    """Share of bits in which the fingerprints of sets of this similarity differ, at most."""
+    return SMALL * math.acos(min(2 * least / (1 + least), 1.0)) / math.pi
+
+
+def positions(least: float) -> int:
+    """Positional bytes of a fingerprint, in eights."""
+    same = (1 - differing(least)) ** 8
+    for n in range(8, 481, 8):
+        if sum(math.comb(n, k) * same**k * (1 - same) ** (n - k) for k in range(SHARED)) <= MISSED:
+            return n
+    raise ValueError("sets so different share too few bytes for an index")
+
+
+def most_bits(least: float) -> int:
+    """Differing bits of a pair at the threshold, at most."""
+    n, p = 8 * positions(least), differing(least)
+    return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
-def _key_batches(shingle: int):
+def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Key of each set: one for equal sets."""
+    return mix64(_per_set(np.add, mix64(h ^ _SALTS[0]), offsets, 0) ^ (np.diff(offsets).astype(np.uint64) * _SALTS[1]))
+
+
+def fingerprints(h: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of each set, ``width`` positional bytes as integers of eight: a bit is 1 if set in over half the hashes."""
+    n = np.diff(offsets)
+    full = np.zeros((len(n), width // 8), dtype=np.uint64)
+    has = n > 0
+    if not has.any():
+        return full
+    # tallies of one bit of each byte at a time: eight byte-wide counters in an integer, of at most 255 shingles
+    size = n[has]
+    parts = -(-size // 255)
+    edges = np.cumsum(parts) - parts
+    spans = np.repeat(offsets[:-1][has], parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(edges, parts))
+    ones = np.uint64(0x0101010101010101)
+    for word in range(width // 8):
+        x, out = mix64(h ^ _SALTS[2 + word]), np.zeros(len(size), dtype=np.uint64)
+        for bit in range(8):
+            tally = np.add.reduceat((x >> np.uint64(bit)) & ones, spans)
+            counts = np.add.reduceat(tally.view(np.uint8).reshape(-1, 8).astype(np.int32), edges, axis=0)
+            over = (2 * counts > size[:, None]).astype(np.uint8)
+            out |= np.ascontiguousarray(over).view(np.uint64)[:, 0] << np.uint64(bit)
+        full[has, word] = out
+    return full
+
+
+def _print_names(width: int) -> list[str]:
+    return [f"f{k}" for k in range(width // 8)]
+
+
+def _print_batches(shingle: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch, "text", STEP_BYTES):
                 h, offsets = shingle_sets(step.column("text"), shingle)
-                key, bands = signatures(h, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(key.view(np.int64)), pa.array(np.diff(offsets), pa.int64()), lists], ["id", "key", "n", "bands"])
+                prints = np.ascontiguousarray(fingerprints(h, offsets, width).T).view(np.int64)
+                key = set_keys(h, offsets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(key), pa.array(np.diff(offsets), pa.int64()), *map(pa.array, prints)], ["id", "key", "n", *_print_names(width)])
 
     return run
 
 
+def _enough(shared: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """Of pairs with so many shared positional bytes and differing bits ``x`` (a row each), the candidates."""
+    return (shared >= SHARED) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= bits)
+
+
+def candidates(n: np.ndarray, prints: np.ndarray, own: np.ndarray, across: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a list whose sets ascend in their number of shingles ``n``; ``across``: only of its two blocks."""
+    bits = most_bits(least)
+    at = np.ascontiguousarray(prints.view(np.uint8).T)
+    top = np.searchsorted(n, n / least + 1e-9, side="right")
+    lo = 0
+    while lo < len(n) - 1:
+        hi = min(lo + max(min(ROWS, PAIR_STEP // max(int(top[lo]) - lo, 1)), 1), len(n))
+        for left in range(lo, int(top[hi - 1]), PAIR_STEP):
+            right = min(left + PAIR_STEP, int(top[hi - 1]))
+            shared = np.zeros((hi - lo, right - left), dtype=np.uint8)
+            for byte in at:
+                shared += byte[lo:hi, None] == byte[None, left:right]
+            i, j = np.nonzero(shared >= SHARED)
+            meet = (i + lo < j + left) & (j + left < top[i + lo])
+            if across:
+                meet &= own[i + lo] != own[j + left]
+            i, j = i[meet], j[meet]
+            near = _enough(shared[i, j], prints[i + lo] ^ prints[j + left], bits)
+            yield i[near] + lo, j[near] + left
+        lo = hi
+
+
+def _merged(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Roots after links between u and v: the smallest entry of each component."""
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
+
+
+def parts_of(keys: np.ndarray, n: np.ndarray, prints: np.ndarray, own: np.ndarray, across: bool, turn: int, least: float) -> tuple[np.ndarray, ...]:
+    """Classes of a list that are candidates of another: their part (its smallest key), key, the part's size, shingles and hub, and if the hub is a candidate."""
+    order = np.lexsort((keys, n))
+    keys, n, prints, own = keys[order], n[order], prints[order], own[order]
+    root = np.arange(len(keys))
+    for u, v in candidates(n, prints, own, across, least):
+        if len(u):
+            root = _merged(root, u, v)
+    size = np.bincount(root, minlength=len(keys))
+    live = np.flatnonzero(size[root] > 1)
+    by = np.lexsort((mix64(keys[live].view(np.uint64) ^ _SALTS[64 + turn % HUBS]), root[live]))
+    live = live[by]
+    first = np.flatnonzero(np.diff(root[live], prepend=-1))
+    counts = np.diff(np.append(first, len(live)))
+    hub = np.repeat(live[first], counts)
+    part = np.repeat(np.minimum.reduceat(keys[live], first), counts) if len(live) else keys[:0]
+    x = prints[live] ^ prints[hub]
+    near = _enough((np.ascontiguousarray(x).view(np.uint8).reshape(len(x), prints.shape[1] * 8) == 0).sum(axis=1), x, most_bits(least))
+    near &= (live != hub) & (np.minimum(n[live], n[hub]) >= least * np.maximum(n[live], n[hub]) - 1e-9)
+    held = np.add.reduceat(n[live], first) if len(live) else n[:0]
+    return part, keys[live], counts.repeat(counts), held.repeat(counts), keys[hub], near
+
+
+def _lists(width: int, least: float):
+    """Parts of sorted lists: a list may go on in the next batch."""
+    names = _print_names(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def parts(group: int) -> Iterator[pa.RecordBatch]:
+            key, n, own, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(key) > 1:
+                part, *out = parts_of(key, n, prints, own, (group >> 16 & 0xFFFF) != (group & 0xFFFF), group >> 40, least)
+                name = mix64(mix64(part.view(np.uint64)) ^ np.uint64(group)).view(np.int64)
+                for lo in range(0, len(name), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 14)]) for x in (name, *out)], ["band", "key", "size", "held", "hub", "near"])
+
+        group = None
+        for batch in batches:
+            lists, key, n, own = (batch.column(k).to_numpy() for k in ("list", "key", "n", "own"))
+            prints = np.stack([batch.column(k).to_numpy() for k in names], axis=1).view(np.uint64)
+            cuts = [*np.flatnonzero(np.diff(lists, prepend=lists[:1] - 1)).tolist(), len(lists)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lists[lo] != group:
+                    if held:
+                        yield from parts(group)
+                    held, group = [], int(lists[lo])
+                held.append((key[lo:hi], n[lo:hi], own[lo:hi], prints[lo:hi]))
+        if held:
+            yield from parts(group)
+
+    return run
+
+
+def index(classes: DataFrame, width: int, least: float, longest: int = LIST) -> DataFrame:
+    """(band, key, size, held, hub, near): the classes of each part of a list, by the byte-position index.
+
+    ``band`` names the part, of ``size`` classes with ``held`` shingles; ``near`` tells if the class and the part's hub are a candidate pair.
+    """
+    names = _print_names(width)
+    byte = [F.lit(256 * p) + F.shiftrightunsigned(names[p // 8], 8 * (p % 8)).bitwiseAND(255).cast("int") for p in range(width)]
+    posted = classes.where("n > 0").select("key", "n", *names, F.explode(F.array(*byte)).alias("place"))
+    long = written(posted.groupBy("place").count().where(F.col("count") > longest), "long")
+    own, i, j = F.lit(0), F.lit(0), F.lit(0)
+    if not long.isEmpty():
+        blocks = F.ceil(F.coalesce("count", F.lit(1)) / longest).cast("int")
+        posted = posted.join(long, "place", "left").withColumn("own", F.pmod(F.xxhash64("key", "place"), blocks).cast("int"))
+        posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        own, i, j = F.col("own"), F.least("own", "other"), F.greatest("own", "other")
+    name = F.shiftleft(F.col("place").cast("long"), 32) + F.shiftleft(i.cast("long"), 16) + j
+    groups = posted.select(name.alias("list"), "key", "n", own.alias("own"), *names).repartition("list").sortWithinPartitions("list")
+    return groups.mapInArrow(_lists(width, least), "band long, key long, size long, held long, hub long, near boolean")
+
+
 def similarity(left: pa.Array, right: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     """Jaccard similarity of the shingle sets of each pair of texts."""
     (a, at), (b, bt) = shingle_sets(left, shingle), shingle_sets(right, shingle)
@@ -210,35 +383,32 @@ def _text_keys(shingle: int):
         for batch in batches:
             for step in steps(batch, "text", STEP_BYTES):
                 h, offsets = shingle_sets(step.column("text"), shingle)
-                key = mix64(_per_set(np.add, mix64(h ^ _SALTS[0]), offsets, 0) ^ (np.diff(offsets).astype(np.uint64) * _SALTS[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), step.column("text")], ["key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(h, offsets).view(np.int64)), step.column("text")], ["key", "text"])
 
     return run
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = LEAST, block: int = BLOCK, longest: int = LIST) -> DataFrame:
     """(id, component) of every row with an id: component is the smallest id of its near copies."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
-    keyed = written(slim.mapInArrow(_key_batches(shingle), "id long, key long, n long, bands array<long>"), "signatures")
-    classes = written(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-
-    # each class of a list with the list's hub
-    posted = classes.where("n > 0").select("key", "n", F.explode("bands").alias("band"))
-    hub = F.min(F.struct(F.xxhash64("key", "band").alias("by"), F.col("key").alias("hub"), F.col("n").alias("hub_n")))
-    heads = posted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), hub.alias("h")).where("size > 1").select("band", "size", "h.hub", "h.hub_n")
-    met = written(posted.join(heads.hint("merge"), "band"), "lists")
-    fits = F.least("n", "hub_n") >= F.lit(least) * F.greatest("n", "hub_n") - 1e-9
-    pairs = written(met.where((F.col("key") != F.col("hub")) & fits).select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct(), "pairs")
+    width = positions(least)
+    names = _print_names(width)
+    keyed = written(slim.mapInArrow(_print_batches(shingle, width), "id long, key long, n long, " + ", ".join(f"{k} long" for k in names)), "fingerprints")
+    classes = written(keyed.groupBy("key").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in ("n", *names))), "classes")
+
+    # each class of a part with the part's hub
+    met = written(index(classes, width, least, longest), "lists")
+    pairs = written(met.where("near").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct(), "pairs")
     texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), classes, slim, shingle, "texts")
     left, right = texts.withColumnsRenamed({"key": "u", "text": "left"}), texts.withColumnsRenamed({"key": "v", "text": "right"})
     edges = written(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").mapInArrow(_near(shingle, least), "a long, b long"), "edges")
     roots = written(connected(edges), "roots")
 
-    # lists whose classes are not all of one component (a list of two is settled by its hub)
-    open_ = met.where("size > 2").select("band", "key", "size").join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left")
-    open_ = written(open_.select("band", "key", "size", F.coalesce("root", "key").alias("label")), "labels")
+    # parts whose classes are not all of one component (a part of two is settled by its hub)
+    open_ = met.where("size > 2").select("band", "key", "size", "held").join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left")
+    open_ = written(open_.select("band", "key", "size", "held", F.coalesce("root", "key").alias("label")), "labels")
     mixed = open_.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("held") / HELD)).cast("int")
     rest = open_.join(mixed.hint("merge"), "band").withColumn("own", F.pmod(F.xxhash64("key", "band"), blocks).cast("int"))
     rest = written(rest.select("band", "key", "label", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")), "open")
     if not rest.isEmpty():

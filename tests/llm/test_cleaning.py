@@ -268,6 +268,81 @@ def test_a_cloud_of_near_copies_becomes_few_links():
     assert roots(keys.tolist(), near) == roots(keys.tolist(), lambda a, b: frozenset((a, b)) in linked)
 
 
+def bytes_of(prints):
+    return [x.tobytes() for x in prints]
+
+
+def is_candidate(a, b):
+    same = sum(x == y for x, y in zip(a, b, strict=True))
+    return same >= Z.SHARED and sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= Z.most_bits(0.8)
+
+
+def changed(rng, base, share):
+    out = base.copy()
+    out[rng.choice(len(out), int(share * len(out)), replace=False)] = rng.integers(0, 1 << 63, int(share * len(out)))
+    return np.unique(out)
+
+
+def test_candidates_of_near_copies_come_from_positional_bytes():
+    """Fingerprints are SimHash, in a list pairs with few shared bytes or many differing bits fall, and near copies are found."""
+    rng = np.random.default_rng(4)
+    width = Z.positions(0.8)
+    sets = []
+    for k in range(400):  # near copies around 0.8, and sets under it
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(16, 600))))
+        sets += [base, changed(rng, base, 0.11 if k % 2 else 0.3)]
+    sets.append(np.empty(0, int))
+    h, off = np.concatenate(sets).astype(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    prints = Z.fingerprints(h, off, width)
+    for k in (0, 1, 399, 800):
+        bits = [np.unpackbits(np.ascontiguousarray(Z.mix64(sets[k].astype(np.uint64) ^ Z._SALTS[2 + w])).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) for w in range(width // 8)]
+        assert (np.packbits(2 * np.concatenate(bits) > len(sets[k])) == prints[k].view(np.uint8)).all()
+
+    n = np.diff(off)
+    order = np.argsort(n[:-1], kind="stable")
+    texts = bytes_of(prints[order])
+    size, none = n[order], np.zeros(len(order), int)
+    fit = lambda i, j: size[j] <= size[i] / 0.8 + 1e-9
+    want = {(i, j) for i in range(len(order)) for j in range(i + 1, len(order)) if fit(i, j) and is_candidate(texts[i], texts[j])}
+    got = [(i, j) for u, v in Z.candidates(size, prints[order], none, False, 0.8) for i, j in zip(u.tolist(), v.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    own = np.arange(len(order)) % 2
+    got = {(i, j) for u, v in Z.candidates(size, prints[order], own, True, 0.8) for i, j in zip(u.tolist(), v.tolist(), strict=True)}
+    assert got == {(i, j) for i, j in want if own[i] != own[j]}
+
+    place = {int(x): k for k, x in enumerate(order)}
+    near = [tuple(sorted((place[k], place[k + 1]))) for k in range(0, 800, 2) if 5 * len(np.intersect1d(sets[k], sets[k + 1])) >= 4 * len(np.union1d(sets[k], sets[k + 1]))]
+    assert len(near) > 150 and set(near) <= want  # recall 1
+    assert len(want) < 400  # and others fall
+
+
+def test_the_index_posts_every_positional_byte(spark):
+    """The stage's candidate pairs are those of the index, whole, also where lists are cut into blocks."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 300)
+    sets = [changed(rng, base, 0.01 * (k % 25)) for k in range(60)] + [np.unique(rng.integers(0, 1 << 63, 290)) for _ in range(60)]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    width = Z.positions(0.8)
+    prints = Z.fingerprints(np.concatenate(sets).astype(np.uint64), off, width)
+    names = Z._print_names(width)
+    rows = [(k, len(x), *p) for k, (x, p) in enumerate(zip(sets, prints.view(np.int64).tolist(), strict=True))]
+    classes = spark.createDataFrame(rows, "key long, n long, " + ", ".join(f"{c} long" for c in names)).repartition(3)
+    texts = bytes_of(prints)
+    fit = lambda a, b: 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) - 1e-9
+    met = lambda a, b: fit(a, b) and is_candidate(texts[a], texts[b])
+    want = roots(list(range(120)), met)
+    for longest in (Z.LIST, 7):
+        got = Z.index(classes, width, 0.8, longest).collect()
+        assert all(met(r.key, r.hub) for r in got if r.near)
+        parts = {}
+        for r in got:
+            parts.setdefault(r.band, []).append(r)
+        assert all(len(x) == x[0].size for x in parts.values())
+        edges = {frozenset((a.key, b.key)) for x in parts.values() for a in x for b in x}
+        assert roots(list(range(120)), lambda a, b: frozenset((a, b)) in edges) == want  # noqa: B023
+        assert edges >= {frozenset((a, b)) for a in range(120) for b in range(a) if met(a, b)}
+
+
 # ------------------------------------------------------------- multi-index
 
 
