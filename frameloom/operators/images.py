@@ -201,6 +201,23 @@ def level_stats(images: DataFrame) -> DataFrame:
     return map_images(images, kernel, "level double, high double")
 
 
+def level_stats_at(pixels: DataFrame) -> DataFrame:
+    """The same of images given by their pixels (frame_idx, y, x, v), of which any may be missing; an image's pixels travel as one array."""
+    kinds = dict(pixels.dtypes)
+    schema = f"frame_idx {kinds['frame_idx']}, level double, high double"
+    types = _arrow(schema)
+    lists = pixels.groupBy("frame_idx").agg(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))).alias("p"))
+    lists = lists.select("frame_idx", *(F.col(f"p.{c}").alias(c) for c in "yxv"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [K.level_stats_at(r["y"], r["x"], r["v"]) for r in _rows(batch)]
+            cols = [batch.column("frame_idx"), *(pa.array([f[k] for f in found], pa.float64()) for k in range(2))]
+            yield pa.RecordBatch.from_arrays(cols, types.names)
+
+    return lists.mapInArrow(run, schema)
+
+
 def frame_levels(images: DataFrame) -> DataFrame:
     """(frame_idx, levels): level and high level of each channel of three-channel images, in turn."""
     return map_images(images, lambda a, _: {"levels": K.level_stats(a).ravel()}, "levels array<double>", channels=3)

@@ -44,3 +44,12 @@ def test_result_does_not_depend_on_partitions(spark, small):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("kept", ["vec_id < 481", "vec_id % 7 <> 3", "vec_id IN (4, 9, 33)", "vec_id < 100 OR vec_id >= 125"])
+def test_mosaics_in_part_equal_sql(kept, spark, duck, small, tmp_path):
+    """level_normalise where images of a mosaic are missing."""
+    duck.execute(f"COPY (SELECT * FROM '{small}/embeddings.parquet' WHERE {kept}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    own = duck.cursor()
+    own.execute(f"CREATE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert_same(Q.QUERIES["level_normalise"](spark, str(tmp_path)).toPandas(), own.execute(Q.ORACLES["level_normalise"]).df())
