@@ -177,33 +177,51 @@ def recovered_sessions(catalog: DataFrame, by: list[str], w: float, h: float, li
 
 
 TRIANGLES = "frame_idx long, a long, b long, c long, inv0 double, inv1 double"
+VOTES = "frame_idx long, ref_star long, cur_star long, votes long"
+
+#: Frames of a block (a power of two), rows that a task gathers before it works, and triangles and candidate pairs that it holds, about.
+BLOCK_BITS, GATHERED, HELD, TRIED = 5, 20_000, 300_000, 1_000_000
+NONE = np.iinfo(np.int64).min
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of each run of equal keys."""
+    n = len(keys[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(first, append=n)
+
+
+def _triples(first: np.ndarray, size: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray):
+    """Every triple of lists (rows from ``first``, ``size`` of them): list, corners by rising opposite side, sides over the longest."""
+    lists, at = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+    for n in np.unique(size[size >= 3]).tolist():
+        of, triples = np.flatnonzero(size == n), np.array(list(combinations(range(n), 3)), dtype=np.int64)
+        at.append((first[of][:, None, None] + triples).reshape(-1, 3))
+        lists.append(np.repeat(of, len(triples)))
+    lists, (i, j, k) = np.concatenate(lists), np.concatenate(at).T
+    d = np.stack([np.sqrt((x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2) for p, q in ((i, j), (j, k), (i, k))], axis=1)
+    rank = np.argsort(d, axis=1, kind="stable")
+    d = np.take_along_axis(d, rank, axis=1)
+    corner = np.take_along_axis(ids[np.stack([k, i, j], axis=1)], rank, axis=1)  # opposite each side
+    ok = d[:, 2] >= 1e-3
+    d = d[ok]
+    return lists[ok], corner[ok], d[:, :2] / d[:, 2:]
 
 
 def _triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    triples: dict[int, np.ndarray] = {}
     for batch in batches:
-        lists = batch.column("s")
-        off, stars = lists.offsets.to_numpy(), lists.values.flatten()
-        ids, x, y = (v.to_numpy(zero_copy_only=False) for v in stars)
-        frames, picked = [], []
-        for frame, lo, hi in zip(batch.column("frame_idx").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-            n = hi - lo
-            if n not in triples:
-                triples[n] = np.array(list(combinations(range(n), 3)), dtype=np.int64).reshape(-1, 3)
-            picked.append(triples[n] + lo)
-            frames.append(np.full(len(triples[n]), frame))
-        at = np.concatenate(picked) if picked else np.zeros((0, 3), np.int64)
-        i, j, k = at.T
-        d = np.stack([np.sqrt((x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2) for p, q in ((i, j), (j, k), (i, k))], axis=1)
-        rank = np.argsort(d, axis=1, kind="stable")
-        d = np.take_along_axis(d, rank, axis=1)
-        corner = np.take_along_axis(ids[np.stack([k, i, j], axis=1)], rank, axis=1)  # opposite each side
-        ok = d[:, 2] >= 1e-3 if len(d) else np.zeros(0, dtype=bool)
-        d, corner = d[ok], corner[ok]
-        frame = np.concatenate(frames)[ok] if frames else np.zeros(0, np.int64)
-        cols = [frame, *corner.T, d[:, 0] / d[:, 2], d[:, 1] / d[:, 2]]
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["frame_idx", "a", "b", "c", "inv0", "inv1"])
+        lists, frames = batch.column("s"), batch.column("frame_idx")
+        off = lists.offsets.to_numpy().astype(np.int64)
+        ids, x, y = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        size = np.diff(off)
+        group = np.cumsum(size * (size - 1) * (size - 2) // 6) // HELD
+        for lo, n in zip(*_runs(group), strict=True):
+            of, corner, inv = _triples(off[:-1][lo : lo + n], size[lo : lo + n], ids, x, y)
+            yield pa.RecordBatch.from_arrays([frames.slice(lo, n).take(pa.array(of)), *map(pa.array, (*corner.T, *inv.T))], ["frame_idx", "a", "b", "c", "inv0", "inv1"])
 
 
 def triangles(stars: DataFrame) -> DataFrame:
@@ -217,26 +235,127 @@ def triangles(stars: DataFrame) -> DataFrame:
     return lists.mapInArrow(_triangles, TRIANGLES)
 
 
-def triangle_votes(tri: DataFrame, step: int = 1, band: float = BAND) -> DataFrame:
-    """(frame_idx, ref_star, cur_star, votes) between each frame and the one ``step`` later."""
-    return votes_between(tri, tri.withColumn("frame_idx", F.col("frame_idx") - step), band)
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows that come by block, some whole blocks at a time; null is NONE."""
 
+    def columns(table: pa.Table) -> dict[str, np.ndarray]:
+        return {c: (table[c].fill_null(NONE) if pa.types.is_integer(table[c].type) else table[c]).to_numpy() for c in table.column_names}
+
+    held, rows, enough = [], 0, GATHERED
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(table["block"].to_numpy(), table["block"][-1].as_py()))
+        if cut:
+            yield columns(table.slice(0, cut))
+            table = table.slice(cut).combine_chunks()
+        held, rows = table.to_batches(), table.num_rows
+        enough = max(GATHERED, 2 * rows)
+    if rows:
+        yield columns(pa.Table.from_batches(held))
+
+
+def _tallied(ref: np.ndarray, cur: np.ndarray, ref_corner: np.ndarray, cur_corner: np.ndarray, ref_inv: np.ndarray, cur_inv: np.ndarray, band: float):
+    """(frame, ref_star, cur_star, votes) of triangles whose sides agree within the band and whose frames (``ref``, ``cur``) are the same.
+
+    Triangles to compare are those next to each other in the first ratio; they are met in slices, and votes added up.
+    """
+    frames, ids, seen = np.unique(ref), np.unique(ref_corner), np.unique(cur_corner)
+    met = np.isin(cur, frames)
+    cur, cur_corner, cur_inv = np.searchsorted(frames, cur[met]), np.searchsorted(seen, cur_corner[met]), cur_inv[met]
+    ref, ref_corner = np.searchsorted(frames, ref), np.searchsorted(ids, ref_corner)
+    apart = 2 * (1 + band)
+    key = cur * apart + cur_inv[:, 0]
+    order = np.argsort(key, kind="stable")
+    key, cur_corner, cur_inv = key[order], cur_corner[order], cur_inv[order]
+    at, near = ref * apart + ref_inv[:, 0], band + 1e-6  # a bit wide, as keys are rounded
+    lo, hi = np.searchsorted(key, at - near), np.searchsorted(key, at + near, side="right")
+    ends = np.cumsum(hi - lo)
+    pairs, votes, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while k < len(ref):
+        done = ends[k - 1] if k else 0
+        stop = max(int(np.searchsorted(ends, done + TRIED, side="right")), k + 1)
+        n = hi[k:stop] - lo[k:stop]
+        one = np.repeat(np.arange(k, stop), n)
+        two = np.arange(len(one)) + np.repeat(lo[k:stop] - (ends[k:stop] - n - done), n)
+        hit = (np.abs(ref_inv[one] - cur_inv[two]) < band).all(axis=1)
+        one, two = one[hit], two[hit]
+        codes = ((ref[one] * len(ids))[:, None] + ref_corner[one]) * len(seen) + cur_corner[two]
+        found, times = np.unique(codes.ravel(), return_counts=True)
+        pairs.append(found)
+        votes.append(times)
+        k = stop
+    found, of = np.unique(np.concatenate(pairs), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, of, np.concatenate(votes))
+    rest, second = np.divmod(found, max(len(seen), 1))
+    frame, first = np.divmod(rest, max(len(ids), 1))
+    return frames[frame], ids[first], seen[second], total
+
+
+def _voted(band: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_blocks(batches):
+            if "inv0" in rows:
+                weight = np.ones(len(rows["block"]))
+            else:
+                order = np.lexsort([rows[c] for c in ("y", "x", "star_id", "cur_of", "ref_of", "block")])
+                rows = {c: v[order] for c, v in rows.items()}
+                first, size = _runs(rows["block"], rows["ref_of"], rows["cur_of"])
+                weight = np.repeat((size - 1) * (size - 2) / 6, size)
+            begin, n = _runs(rows["block"])
+            group = np.repeat((np.add.reduceat(weight, begin).cumsum() / HELD).astype(int), n)  # whole blocks
+            for lo, n in zip(*_runs(group), strict=True):
+                if "inv0" in rows:
+                    of, corner, inv = np.arange(lo, lo + n), *(np.stack([rows[c][lo : lo + n] for c in names], axis=1) for names in (("a", "b", "c"), ("inv0", "inv1")))
+                else:
+                    mine = slice(*np.searchsorted(first, [lo, lo + n]))
+                    of, corner, inv = _triples(first[mine], size[mine], rows["star_id"], rows["x"], rows["y"])
+                    of = first[mine][of]
+                ref, cur = rows["ref_of"][of], rows["cur_of"][of]
+                r, c = ref != NONE, cur != NONE
+                out = _tallied(ref[r], cur[c], corner[r], corner[c], inv[r], inv[c], band)
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["frame_idx", "ref_star", "cur_star", "votes"])
+
+    return run
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    """Stars (star_id, x, y), or triangles, of the frames that have a number."""
+    longs, doubles = (("a", "b", "c"), ("inv0", "inv1")) if "inv0" in df.columns else (("star_id",), ("x", "y"))
+    return df.where("frame_idx IS NOT NULL").select(F.col("frame_idx").cast("long").alias("frame_idx"), *(F.col(c).cast("long").alias(c) for c in longs), *(F.col(c).cast("double").alias(c) for c in doubles))
 
-def votes_between(reference: DataFrame, tri: DataFrame, band: float = BAND) -> DataFrame:
-    """(frame_idx, ref_star, cur_star, votes) of two tables of triangles, frame by frame.
 
-    The band on both ratios becomes an equality of buckets twice as wide (a value and its band meet
-    at most two of them each way, so one side has four copies at most) and an exact test.
+def _block(frame: Column) -> Column:
+    return F.shiftright(frame, BLOCK_BITS).cast("long")
+
+
+def _dealt(rows: DataFrame, band: float) -> DataFrame:
+    return rows.drop("frame_idx").repartition("block").sortWithinPartitions("block").mapInArrow(_voted(band), VOTES)
+
+
+def triangle_votes(stars: DataFrame, step: int = 1, band: float = BAND) -> DataFrame:
+    """(frame_idx, ref_star, cur_star, votes) between each frame and the one ``step`` later.
+
+    Takes star lists (frame_idx, star_id, x, y) or tables of triangles.  Frames go to tasks in blocks, a frame
+    that another block's votes need goes there too; a task makes the triangles of star lists where
+    it compares them, so what moves is a star once and no triangle.
     """
-    bucket = lambda v, by=0.0: F.floor((F.col(v) + by) / (2 * band))
-    left = reference.select("frame_idx", "a", "b", "c", "inv0", "inv1", bucket("inv0").alias("k0"), bucket("inv1").alias("k1"))
-    reach = lambda v: F.explode(F.array_distinct(F.array(bucket(v, -band), bucket(v, band))))
-    right = tri.select("frame_idx", *(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "inv0", "inv1")), reach("inv0").alias("k0"))
-    right = right.select("*", F.explode(F.array_distinct(F.array(bucket("inv12", -band), bucket("inv12", band)))).alias("k1"))
-    # the estimate of an exploded side's size is that of its source, so it must not pick a broadcast
-    hits = left.join(right.hint("merge"), ["frame_idx", "k0", "k1"]).where((F.abs(F.col("inv0") - F.col("inv02")) < band) & (F.abs(F.col("inv1") - F.col("inv12")) < band))
-    pairs = F.explode(F.array(*(F.struct(F.col(c).alias("ref_star"), F.col(f"{c}2").alias("cur_star")) for c in "abc")))
-    return hits.select("frame_idx", pairs.alias("p")).groupBy("frame_idx", "p.ref_star", "p.cur_star").agg(F.count(F.lit(1)).alias("votes"))
+    frame = F.col("frame_idx")
+    own, other = _block(frame), _block(frame - step)
+    rows = _listed(stars).withColumn("block", F.explode(F.array_distinct(F.array(own, other))))
+    return _dealt(rows.withColumns({"ref_of": F.when(own == F.col("block"), frame), "cur_of": F.when(other == F.col("block"), frame - step)}), band)
+
+
+def votes_between(reference: DataFrame, stars: DataFrame, band: float = BAND) -> DataFrame:
+    """The same of two tables of star lists (or two of triangles), frame by frame."""
+    frame, none = F.col("frame_idx"), F.lit(None).cast("long")
+    sides = [_listed(df).withColumns({"block": _block(frame), "ref_of": r, "cur_of": c}) for df, r, c in ((reference, frame, none), (stars, none, frame))]
+    return _dealt(sides[0].unionByName(sides[1]), band)
 
 
 def best_matches(votes: DataFrame, least: int = 3) -> DataFrame:

@@ -283,7 +283,7 @@ def triangle_votes(spark, sf_dir):
 @query("points", f"""{TRIANGLES} SELECT frame_idx, ref_star, cur_star, votes FROM votes
 QUALIFY row_number() OVER (PARTITION BY frame_idx, ref_star ORDER BY votes DESC, cur_star DESC) = 1""")
 def star_matches(spark, sf_dir):
-    return T.best_matches(T.triangle_votes(T.triangles(V.points(spark, sf_dir))), least=1)
+    return T.best_matches(T.triangle_votes(V.points(spark, sf_dir)), least=1)
 
 
 @query("points", """g AS (SELECT p.frame_idx, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM points p JOIN points q ON q.frame_idx = p.frame_idx + 1 AND q.star_id = p.star_id),

@@ -87,7 +87,7 @@ def aligned(frames: DataFrame, config: Config) -> DataFrame:
     fixed = stars.join(F.broadcast(first), F.col("frame_idx") == F.col("first")).drop("first", "frame_idx")  # one frame's stars
     others = stars.select("frame_idx").distinct()
     reference = others.crossJoin(F.broadcast(fixed))
-    votes = T.votes_between(T.triangles(reference), T.triangles(stars))
+    votes = T.votes_between(reference, stars)
     best = T.best_matches(votes, least=3)
     ref = fixed.select(F.col("star_id").cast("long").alias("ref_star"), F.col("x").alias("px"), F.col("y").alias("py"))
     cur = stars.select("frame_idx", F.col("star_id").cast("long").alias("cur_star"), F.col("x").alias("qx"), F.col("y").alias("qy"))

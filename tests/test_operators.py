@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +117,68 @@ def test_planted_rotation_is_recovered_from_star_lists(spark):
     assert T.ransac(p[:2], q[:2]) is None
 
 
+def star_lists(frames, rng, most=8):
+    """Lists of up to ``most`` stars on a coarse grid, so that many triangles agree."""
+    return [(f, k, float(x), float(y)) for f in frames for k, (x, y) in enumerate(rng.integers(0, 6, (int(rng.integers(0, most + 1)), 2)))]
+
+
+def brute_votes(reference, current):
+    """{(frame, ref_star, cur_star): votes} of two lists of stars, triangle by triangle."""
+
+    def made(rows):
+        lists, out = {}, {}
+        for f, *star in sorted(rows):
+            lists.setdefault(f, []).append(star)
+        for f, stars in lists.items():
+            for (i, *p), (j, *q), (k, *r) in combinations(stars, 3):
+                sides = sorted([(math.dist(p, q), 0, k), (math.dist(q, r), 1, i), (math.dist(p, r), 2, j)])
+                if sides[2][0] >= 1e-3:
+                    out.setdefault(f, []).append(([s[2] for s in sides], sides[0][0] / sides[2][0], sides[1][0] / sides[2][0]))
+        return out
+
+    votes, one, two = Counter(), made(reference), made(current)
+    for f in one.keys() & two.keys():
+        for a, u, v in one[f]:
+            for b, s, t in two[f]:
+                if abs(u - s) < T.BAND and abs(v - t) < T.BAND:
+                    votes.update((f, i, j) for i, j in zip(a, b, strict=True))
+    return dict(votes)
+
+
+def test_votes_move_stars_once_and_no_triangles(spark):
+    rng = np.random.default_rng(11)
+    rows = star_lists([*range(-3, 100), 127, 128, 500, 10**12], rng) + [(None, 0, 1.0, 1.0), (None, 1, 2.0, 1.0), (None, 2, 1.0, 3.0)]
+    schema = "frame_idx long, star_id long, x double, y double"
+    stars, full = spark.createDataFrame(rows, schema).repartition(5), [r for r in rows if r[0] is not None]
+    found = lambda df: {(r.frame_idx, r.ref_star, r.cur_star): r.votes for r in df.collect()}
+    for step in (1, 40):
+        want = brute_votes(full, [(f - step, *rest) for f, *rest in full])
+        votes = T.triangle_votes(stars, step)
+        assert len(want) > 150 and found(votes) == want and votes.count() == len(want)
+    assert found(T.triangle_votes(T.triangles(stars))) == found(T.triangle_votes(stars))
+    other = star_lists(range(0, 80), rng)
+    assert found(T.votes_between(stars, spark.createDataFrame(other, schema))) == brute_votes(full, other)
+    assert T.triangle_votes(stars.limit(0)).count() == 0
+    plan = T.triangle_votes(spark.createDataFrame(full, schema))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
+    assert "RepartitionByExpression" in plan.split("MapInArrow")[-1] and "inv0" not in plan  # stars are dealt, triangles are not
+
+
+def test_votes_in_small_pieces(monkeypatch):
+    """A task that holds few triangles at once and gets blocks over many batches adds up the same votes."""
+    rows = star_lists(range(200), np.random.default_rng(12))
+    dealt = [(b, f if f // 32 == b else None, f - 1 if (f - 1) // 32 == b else None, *rest) for f, *rest in rows for b in {f // 32, (f - 1) // 32}]
+    dealt.sort(key=lambda r: r[0])
+    kinds = pa.schema([(c, pa.int64()) for c in ("block", "ref_of", "cur_of", "star_id")] + [(c, pa.float64()) for c in "xy"])
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*dealt, strict=True), kinds, strict=True)], schema=kinds)
+    want = brute_votes(rows, [(f - 1, *rest) for f, *rest in rows])
+    for gathered, held, tried in ((20_000, 300_000, 1_000_000), (30, 40, 7)):
+        for name, value in (("GATHERED", gathered), ("HELD", held), ("TRIED", tried)):
+            monkeypatch.setattr(T, name, value)
+        out = [r for b in T._voted(T.BAND)(iter(table.to_batches(max_chunksize=50))) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert len(out) == len(want) and {r[:3]: r[3] for r in out} == want
+
+
 def test_selection_corner_cases(spark):
     rows = [(0, 0.5, 0.7, 0.0, True), (1, 0.5, 0.65, 0.0, True), (2, 0.9, 0.5, 0.9, True), (3, 0.5, 0.5, 0.0, False), (4, 0.5, 0.6, 0.01, True)]
     c = spark.createDataFrame(rows, "frame_idx long, level double, fg double, cloud double, aligned boolean")
