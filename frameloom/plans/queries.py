@@ -277,7 +277,7 @@ votes AS (SELECT frame_idx, ref_star, cur_star, count(*) AS votes FROM (SELECT f
 
 @query("points", f"{TRIANGLES} SELECT frame_idx, ref_star, cur_star, votes FROM votes")
 def triangle_votes(spark, sf_dir):
-    return T.triangle_votes(T.triangles(V.points(spark, sf_dir)))
+    return T.triangle_votes(V.points(spark, sf_dir))
 
 
 @query("points", f"""{TRIANGLES} SELECT frame_idx, ref_star, cur_star, votes FROM votes
