@@ -381,38 +381,90 @@ def rigid_fit(pairs: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "n", "angle", (mq[0] - (c * mp[0] - s * mp[1])).alias("tx"), (mq[1] - (s * mp[0] + c * mp[1])).alias("ty"))
 
 
-def ransac(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, length_change: float = 0.05):
-    """Rigid transform of matched points with outliers: (angle, tx, ty), inliers, RMS; None if there are fewer than three.
+#: Pairs of matches, and residuals, that are held at once, about.
+PAIRS, RESIDUALS = 100_000, 1_000_000
+
+
+def _most_inside(p: np.ndarray, q: np.ndarray, tolerance: float, i: np.ndarray, j: np.ndarray, lp: np.ndarray, lq: np.ndarray) -> np.ndarray:
+    """A bound on the inliers of any rigid transform, by list.
 
-    Lists hold a few dozen pairs, so every pair of matches is tried, the first best kept, and refined
-    by least squares over its inliers.
+    Two inliers change their distance by twice the tolerance at most, so n inliers need n matches
+    that each agree with n - 1 others.
     """
-    n = len(p)
-    if n < 3:
-        return None
+    far, n = len(p), p.shape[1]
+    places = np.concatenate([p, q], axis=2).reshape(far, -1)
+    scale = np.where(np.isfinite(places), np.abs(places), 0.0).max(axis=1)  # for what is lost by rounding
+    agree = np.abs(lp - lq) <= (2.000002 * tolerance + 1e-9 * scale)[:, None]
+    met = np.zeros((far, n, n), dtype=bool)
+    met[:, i, j] = met[:, j, i] = agree
+    with_own = -np.sort(-(met.sum(axis=2) + 1), axis=1)
+    return (with_own >= np.arange(1, n + 1)).sum(axis=1)
+
+
+def ransac_lists(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, length_change: float = 0.05):
+    """Rigid transforms of many lists of as many matches each (list, match, place): angle, tx, ty, inliers, RMS by list; no inliers, no transform.
+
+    Pairs of a list's matches are tried in turn, the first best counts; a list is done when it has as many
+    inliers as any transform could have.  The best is refined by least squares over its inliers.
+    """
+    far, n = p.shape[:2]
     i, j = np.triu_indices(n, 1)
-    dp, dq = p[j] - p[i], q[j] - q[i]
-    lp, lq = np.hypot(*dp.T), np.hypot(*dq.T)
+    out = np.zeros((5, far))
+    if n < 3:
+        return out
+    step = max(PAIRS // len(i), 1)
+    if far > step:
+        return np.concatenate([ransac_lists(p[k : k + step], q[k : k + step], tolerance, length_change) for k in range(0, far, step)], axis=1)
+    dp, dq = p[:, j] - p[:, i], q[:, j] - q[:, i]
+    lp, lq = (np.hypot(d[..., 0], d[..., 1]) for d in (dp, dq))
     ok = (lp > 1e-3) & (np.abs(lq / np.maximum(lp, 1e-9) - 1) <= length_change)
-    i, dp, dq = i[ok], dp[ok], dq[ok]
-    if not len(i):
-        return None
-    th = np.arctan2(dq[:, 1], dq[:, 0]) - np.arctan2(dp[:, 1], dp[:, 0])
-    c, s = np.cos(th), np.sin(th)
-    tx, ty = q[i, 0] - (c * p[i, 0] - s * p[i, 1]), q[i, 1] - (s * p[i, 0] + c * p[i, 1])
-    ex = c[:, None] * p[:, 0] - s[:, None] * p[:, 1] + tx[:, None] - q[:, 0]
-    ey = s[:, None] * p[:, 0] + c[:, None] * p[:, 1] + ty[:, None] - q[:, 1]
-    inside = np.hypot(ex, ey) < tolerance
-    best = inside[int(np.argmax(inside.sum(axis=1)))]
-    if best.sum() < 3:
-        return None
-    a, b = p[best], q[best]
-    a0, b0 = a - a.mean(0), b - b.mean(0)
-    th = float(np.arctan2((a0[:, 0] * b0[:, 1] - a0[:, 1] * b0[:, 0]).sum(), (a0 * b0).sum()))
-    rot = np.array([[np.cos(th), -np.sin(th)], [np.sin(th), np.cos(th)]])
-    t = b.mean(0) - rot @ a.mean(0)
-    rms = float(np.sqrt(((a @ rot.T + t - b) ** 2).sum(1).mean()))
-    return (th, float(t[0]), float(t[1])), int(best.sum()), rms
+    turn = np.cumsum(ok, axis=1) - 1
+    most, pairs = _most_inside(p, q, tolerance, i, j, lp, lq), ok.sum(axis=1)
+    best, chosen, open_ = np.zeros(far, np.int64), np.zeros((far, 4)), np.flatnonzero(pairs)
+    tried, width = 0, 1
+    while len(open_):
+        width = max(min(width, RESIDUALS // (n * len(open_))), 1)
+        f, h = np.nonzero(ok[open_] & (turn[open_] >= tried) & (turn[open_] < tried + width))
+        f = open_[f]
+        th = np.arctan2(dq[f, h, 1], dq[f, h, 0]) - np.arctan2(dp[f, h, 1], dp[f, h, 0])
+        c, s = np.cos(th), np.sin(th)
+        (px, py), (qx, qy) = p[f, i[h]].T, q[f, i[h]].T
+        made = np.stack([c, s, qx - (c * px - s * py), qy - (s * px + c * py)], axis=1)
+        count = _inside(made, p[f], q[f], tolerance).sum(axis=1)
+        first, size = _runs(f)
+        top = np.maximum.reduceat(count, first)
+        at = np.minimum.reduceat(np.where(count == np.repeat(top, size), np.arange(len(f)), len(f)), first)
+        better = top > best[f[first]]
+        best[f[at[better]]], chosen[f[at[better]]] = top[better], made[at[better]]
+        tried, width = tried + width, width * 4
+        open_ = open_[(best[open_] < most[open_]) & (pairs[open_] > tried)]
+    found = np.flatnonzero(best >= 3)
+    a, b = p[found], q[found]
+    inside = _inside(chosen[found], a, b, tolerance)[..., None]
+    mean = lambda v: np.where(inside, v, 0.0).sum(axis=1, keepdims=True) / best[found][:, None, None]
+    ma, mb = mean(a), mean(b)
+    a0, b0 = np.where(inside, a - ma, 0.0), np.where(inside, b - mb, 0.0)
+    th = np.arctan2((a0[..., 0] * b0[..., 1] - a0[..., 1] * b0[..., 0]).sum(axis=1), (a0 * b0).sum(axis=(1, 2)))
+    c, s = np.cos(th)[:, None], np.sin(th)[:, None]
+    turned = lambda v: np.stack([c * v[..., 0] - s * v[..., 1], s * v[..., 0] + c * v[..., 1]], axis=-1)
+    t = mb - turned(ma)
+    off = np.where(inside, turned(a) + t - b, 0.0)
+    out[:, found] = th, t[:, 0, 0], t[:, 0, 1], best[found], np.sqrt((off**2).sum(axis=(1, 2)) / best[found])
+    return out
+
+
+def _inside(made: np.ndarray, p: np.ndarray, q: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which matches a transform (cos, sin, tx, ty) of their list brings within the tolerance."""
+    c, s, tx, ty = made.T[..., None]
+    ex = c * p[..., 0] - s * p[..., 1] + tx - q[..., 0]
+    ey = s * p[..., 0] + c * p[..., 1] + ty - q[..., 1]
+    return np.hypot(ex, ey) < tolerance
+
+
+def ransac(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, length_change: float = 0.05):
+    """Rigid transform of matched points with outliers: (angle, tx, ty), inliers, RMS; None if there are fewer than three."""
+    angle, tx, ty, n, rms = ransac_lists(p[None], q[None], tolerance, length_change)[:, 0].tolist()
+    return ((angle, tx, ty), int(n), rms) if n else None
 
 
 ALIGNED = "angle double, tx double, ty double, inliers long, rms double, aligned boolean"
@@ -420,18 +472,18 @@ ALIGNED = "angle double, tx double, ty double, inliers long, rms double, aligned
 
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.float64()] * 3 + [pa.int64(), pa.float64(), pa.bool_()]
         for batch in batches:
             lists = batch.column("m")
-            off = lists.offsets.to_numpy()
+            off = lists.offsets.to_numpy().astype(np.int64)
             places = np.stack([lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
-            rows = []
-            for lo, hi in zip(off[:-1], off[1:], strict=True):
-                got = ransac(places[lo:hi, :2], places[lo:hi, 2:])
-                (angle, tx, ty), n, rms = got if got else ((None, None, None), 0, None)
-                rows.append((angle, tx, ty, n, rms, n >= least))
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("frame_idx"), *cols], ["frame_idx", *(x.split()[0] for x in ALIGNED.split(", "))])
+            size, made = np.diff(off), np.zeros((5, batch.num_rows))
+            for n in np.unique(size).tolist():
+                of = np.flatnonzero(size == n)
+                m = places[off[of][:, None] + np.arange(n)]
+                made[:, of] = ransac_lists(m[..., :2], m[..., 2:])
+            n = made[3].astype(np.int64)
+            angle, tx, ty, rms = (pa.array(made[k], pa.float64(), mask=n == 0) for k in (0, 1, 2, 4))
+            yield pa.RecordBatch.from_arrays([batch.column("frame_idx"), angle, tx, ty, pa.array(n), rms, pa.array(n >= least)], ["frame_idx", *(x.split()[0] for x in ALIGNED.split(", "))])
 
     return run
 

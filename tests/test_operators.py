@@ -179,6 +179,54 @@ def test_votes_in_small_pieces(monkeypatch):
         assert len(out) == len(want) and {r[:3]: r[3] for r in out} == want
 
 
+def every_pair(p, q, tolerance=3.0):
+    """Most inliers over every pair of matches, the first pair that has as many, and its inliers."""
+    best = np.zeros(len(p), dtype=bool)
+    for i, j in combinations(range(len(p)), 2):
+        dp, dq = p[j] - p[i], q[j] - q[i]
+        lp, lq = np.hypot(*dp), np.hypot(*dq)
+        if not (lp > 1e-3 and abs(lq / lp - 1) <= 0.05):
+            continue
+        th = np.arctan2(dq[1], dq[0]) - np.arctan2(dp[1], dp[0])
+        rot = np.array([[np.cos(th), -np.sin(th)], [np.sin(th), np.cos(th)]])
+        inside = np.hypot(*(p @ rot.T + q[i] - rot @ p[i] - q).T) < tolerance
+        if inside.sum() > best.sum():
+            best = inside
+    return best
+
+
+def test_fits_of_many_lists_are_those_of_every_pair(monkeypatch):
+    """Lists are fitted together; they stop early only where no pair could do better."""
+    rng = np.random.default_rng(21)
+    tried, plain = [], T._inside
+    monkeypatch.setattr(T, "_inside", lambda made, *rest: tried.append(len(made)) or plain(made, *rest))
+    for n, wrong in ((3, 0.0), (6, 0.3), (9, 0.5), (14, 0.9), (20, 0.2)):
+        p = rng.uniform(0, 600, (40, n, 2))
+        th, t = rng.normal(0, 0.03, 40), rng.normal(0, 9, (40, 1, 2))
+        rot = np.stack([np.cos(th), -np.sin(th), np.sin(th), np.cos(th)], axis=1).reshape(40, 2, 2)
+        q = p @ rot.transpose(0, 2, 1) + t + rng.normal(0, 0.6, p.shape)
+        off = rng.random((40, n)) < wrong
+        q[off] = rng.uniform(0, 600, (int(off.sum()), 2))
+        q[3, 1], p[4, 0] = np.nan, np.inf
+        tried.clear()
+        got = T.ransac_lists(p, q)
+        if wrong == 0.2:
+            assert sum(tried) < 40 * 30  # of 190 pairs each
+        for k in range(40):
+            best = every_pair(p[k], q[k])
+            assert got[3, k] == (best.sum() if best.sum() >= 3 else 0)
+            if best.sum() >= 3:
+                turned = lambda v, a=got[0, k]: v @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])
+                rest = turned(p[k][best]) + got[1:3, k] - q[k][best]
+                assert got[4, k] == pytest.approx(np.sqrt((rest**2).sum(axis=1).mean())) and np.abs(rest.mean(axis=0)).max() < 1e-9
+                near = turned(p[k][best] - p[k][best].mean(axis=0))
+                assert abs((near[:, 0] * rest[:, 1] - near[:, 1] * rest[:, 0]).sum()) < 1e-9 * (near**2).sum()  # no turn is left
+        for name in ("PAIRS", "RESIDUALS"):
+            with monkeypatch.context() as small:
+                small.setattr(T, name, 50)
+                np.testing.assert_array_equal(T.ransac_lists(p, q), got)
+
+
 def test_selection_corner_cases(spark):
     rows = [(0, 0.5, 0.7, 0.0, True), (1, 0.5, 0.65, 0.0, True), (2, 0.9, 0.5, 0.9, True), (3, 0.5, 0.5, 0.0, False), (4, 0.5, 0.6, 0.01, True)]
     c = spark.createDataFrame(rows, "frame_idx long, level double, fg double, cloud double, aligned boolean")
